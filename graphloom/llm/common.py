@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for operators that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here and a lost
-    executor loses nothing."""
+    executor loses nothing. Shuffle files that only the lineage needed are released."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a frame that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*frames: DataFrame) -> None:
+    """Remove what materialize() wrote, once nothing reads it any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

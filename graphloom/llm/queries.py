@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_codec, media, packing, token_counts, topk
+from graphloom.llm import bpe_codec, media, packing, suffix_dedup, token_counts, topk
 from graphloom.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -29,4 +33,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_top_k, op4_packing, op6_bpe, op8_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_top_k, op4_packing, op6_bpe, op8_media, op10_token_counts)}
