@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import drop_written, materialize, shared_dir
+
+__all__ = ["drop_written", "materialize", "row_key", "shared_dir", "small_batches", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,34 +19,6 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphloom-{os.urandom(8).hex()}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here and a lost
-    executor loses nothing. Shuffle files that only the lineage needed are released."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(*frames: DataFrame) -> None:
-    """Remove what materialize() wrote, once nothing reads it any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for folder in {os.path.dirname(x) for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """16-byte identity of a row: equal rows share it, rows that differ in id or text do not."""
     body = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("~")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
