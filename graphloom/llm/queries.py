@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_codec, media, packing, suffix_dedup, token_counts, topk
+from graphloom.llm import bpe_codec, jaccard_join, media, packing, suffix_dedup, token_counts, topk
 from graphloom.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -33,4 +37,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_top_k, op4_packing, op6_bpe, op8_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_top_k, op4_packing, op6_bpe, op7_jaccard, op8_media, op10_token_counts)}
