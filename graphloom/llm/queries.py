@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_codec, jaccard_join, media, packing, suffix_dedup, token_counts, topk
+from graphloom.llm import bpe_codec, jaccard_join, media, packing, pii, suffix_dedup, token_counts, topk
 from graphloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -37,4 +41,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_top_k, op4_packing, op6_bpe, op7_jaccard, op8_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_top_k, op4_packing, op5_pii, op6_bpe, op7_jaccard, op8_media, op10_token_counts)}
