@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_codec, jaccard_join, media, packing, pii, suffix_dedup, token_counts, topk
+from graphloom.llm import bpe_codec, html_extract, jaccard_join, media, packing, pii, suffix_dedup, token_counts, topk
 from graphloom.llm.common import table
 
 
@@ -37,8 +37,12 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_top_k, op4_packing, op5_pii, op6_bpe, op7_jaccard, op8_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_top_k, op4_packing, op5_pii, op6_bpe, op7_jaccard, op8_media, op9_html, op10_token_counts)}
