@@ -258,7 +258,8 @@ def _prefixes(keyed: DataFrame, size: int, num: int, den: int, last: np.ndarray,
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; sets link when den * overlap >= num * union."""
+    """doc_id, n_shingles, component_id of every row, and id, h (the row's identity), label (of the
+    component, null without shingles). Sets link when den * overlap >= num * union."""
     spark = docs.sparkSession
     small_batches(spark, 512)
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"))
@@ -322,8 +323,19 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
     named = sets.select("u", "least").join(found, "u", "left").withColumn("label", F.coalesce("label", "u"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = named.join(least, "label").select("u", "component_id")
-    linked = rows.filter("n > 0").join(component, "u").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = linked.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    component = named.join(least, "label").select("u", "component_id", "label")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "id", "h", "label"]
+    linked = rows.filter("n > 0").join(component, "u").select(*columns)
+    out = linked.unionByName(rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "label": F.lit(None).cast("long")}).select(*columns))
     drop_written(nodes, placed)
     return out
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without near copies: of each component the row of least id stays, and all rows without shingles."""
+    names = docs.columns
+    found = jaccard_components(docs, size, num, den)
+    first = found.filter("label is not null").groupBy("label").agg(F.min(F.struct("id", "h")).alias("row")).select("row.*")
+    single = materialize(first.unionByName(found.filter("label is null").select("id", "h").distinct()))
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_h": F.xxhash64("text")})
+    return keyed.join(single.withColumnsRenamed({"id": "_id", "h": "_h"}), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_codec, html_extract, jaccard_join, media, packing, pii, suffix_dedup, token_counts, topk
+from graphloom.llm import bpe_codec, html_extract, jaccard_join, language_id, media, packing, pii, suffix_dedup, token_counts, topk
 from graphloom.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents")).drop("id", "h")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -30,7 +34,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,4 +49,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_top_k, op4_packing, op5_pii, op6_bpe, op7_jaccard, op8_media, op9_html, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_top_k, op4_packing, op5_pii, op6_bpe, op7_jaccard, op8_media, op9_html, op10_token_counts)}
