@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from graphloom.llm.common import small_batches
 
 MARK = "▁"
-MAX_NODES = 400_000
+MAX_NODES = 1_200_000
 
 
 @functools.lru_cache(maxsize=2)
-def unigram_model(model_file: str | None = None) -> tuple[dict[str, float], float, int]:
-    """piece -> log probability, cost of a byte piece, length of the longest piece."""
+def unigram_model(model_file: str | None = None) -> tuple[dict[str, float | None], float]:
+    """Log probability of every piece, None for what is only the end of one; cost of a byte piece."""
     import public_tokenizers
     import sentencepiece
 
@@ -43,14 +43,15 @@ def unigram_model(model_file: str | None = None) -> tuple[dict[str, float], floa
     kept = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     order = sorted(kept, key=lambda i: (-sp.get_score(i), i))
     scores = {sp.id_to_piece(i): -math.log(r + 2) for r, i in enumerate(order)}
-    return scores, -math.log(len(order) + 2) - 10.0, max(map(len, scores))
+    tails: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(len(piece))}
+    return tails | scores, -math.log(len(order) + 2) - 10.0
 
 
 class PrefixTrie:
     """Forward scores by prefix. score[n], pieces[n]: of the prefix that node n stands for."""
 
     def __init__(self, model_file: str | None = None, max_nodes: int = MAX_NODES):
-        self.scores, self.byte_score, self.longest = unigram_model(model_file)
+        self.tails, self.byte_score = unigram_model(model_file)
         self.max_nodes = max_nodes
         self.clear()
 
@@ -69,7 +70,7 @@ class PrefixTrie:
     def _insert(self, word: str) -> int:
         if len(self.score) > self.max_nodes:
             self.clear()
-        child, score, pieces, known = self.child, self.score, self.pieces, self.scores
+        child, score, pieces, tails = self.child, self.score, self.pieces, self.tails
         path, node = [0], 0
         for end, char in enumerate(word, 1):
             edge = node << 21 | ord(char)
@@ -77,8 +78,10 @@ class PrefixTrie:
             if nxt is None:
                 n_bytes = len(char.encode())
                 best, count = score[node] + n_bytes * self.byte_score, pieces[node] + n_bytes
-                for begin in range(max(0, end - self.longest), end):
-                    piece = known.get(word[begin:end])
+                for begin in range(end - 1, -1, -1):
+                    piece = tails.get(word[begin:end], 1.0)
+                    if piece == 1.0:  # no piece ends like this, so no longer one does
+                        break
                     if piece is not None:
                         at = path[begin]
                         total = score[at] + piece
