@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import drop_written, materialize, small_batches
 
 #: Bytes that are ranked at once; longer texts are ranked in overlapping segments.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S32, _S29 = np.uint64(32), np.uint64(29)
@@ -155,14 +155,13 @@ def _cut_blocks(keyed: DataFrame, open_: DataFrame, t: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for id_, h, text, blocks in zip(b["id"], b["h"], b["text"], b["blocks"]):
+            for id_, h, text, grams, ats in zip(b["id"], b["h"], b["text"], b["grams"], b["ats"]):
                 data = text.encode()
-                for x in blocks:
-                    lo, hi, _ = _unpack(x["at"])
-                    rows.append((id_, h, x["gram"], x["at"], data[lo : hi + t]))
+                lo, hi, _ = _unpack(ats)
+                rows += [(id_, h, g, at, data[x : y + t]) for g, at, x, y in zip(grams, ats, lo, hi)]
             yield pd.DataFrame(rows, columns=["id", "h", "gram", "at", "bytes"])
 
-    return keyed.join(lists, ["id", "h"]).select("id", "h", "text", "blocks").mapInPandas(run, "id long, h long, gram long, at long, bytes binary")
+    return keyed.join(lists, ["id", "h"]).select("id", "h", "text", F.col("blocks.gram").alias("grams"), F.col("blocks.at").alias("ats")).mapInPandas(run, "id long, h long, gram long, at long, bytes binary")
 
 
 def _steps(blocks: DataFrame, t: int, step: int) -> DataFrame:
@@ -219,7 +218,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     t = min_bytes
     if not (0 < gram <= t - step + 1 and t <= 1000 and gram == _power(gram)):
         raise ValueError("gram has to be a power of two of at most min_bytes - step + 1, min_bytes at most 1000")
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
     slim = keyed.select("id", "h", "text")
     anchors = materialize(_anchors(slim.filter(F.octet_length("text") >= t), t, gram))
@@ -245,15 +244,19 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     return keyed.join(spans, ["id", "h"], "left")
 
 
-def merge(spans: list, n: int) -> list[tuple[int, int]]:
-    """Sorted, disjoint, not touching."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Spans sorted, disjoint and not touching."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.r_[True, starts[1:] > ends[:-1]])
+    return list(zip(starts[new].tolist(), ends[np.r_[new[1:] - 1, len(ends) - 1]].tolist()))
+
+
+def kept_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bytes outside all spans, and the merged spans."""
+    cut = merge(starts, ends)
+    edges = [0, *(x for span in cut for x in span), len(data)]
+    return b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2])), cut
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step: int = 16) -> DataFrame:
@@ -262,15 +265,25 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, text, spans in zip(b["doc_id"], b["text"], b["spans"]):
+            for doc_id, text, starts, ends in zip(b["doc_id"], b["text"], b["starts"], b["ends"]):
                 data = (text or "").encode()
-                cut = merge(spans, len(data)) if spans is not None else []
-                edges = [0, *(x for span in cut for x in span), len(data)]
-                kept = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2]))
+                kept, cut = kept_bytes(data, starts, ends) if starts is not None else (data, [])
                 rows.append((None if pd.isna(doc_id) else int(doc_id), len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept))
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
             out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
             yield out
 
-    found = repeated_spans(docs, min_bytes, gram, step).select("doc_id", "text", "spans")
+    found = repeated_spans(docs, min_bytes, gram, step).select("doc_id", "text", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
     return found.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def without_repeats(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
+    """docs with the repeated bytes taken out of the text; what is left of a cut character goes too."""
+    names = docs.columns
+    found = repeated_spans(docs, min_bytes)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else kept_bytes((t or "").encode(), s, e)[0].decode(errors="ignore") for t, s, e in zip(text, starts, ends)])
+
+    return found.withColumn("text", cut("text", F.col("spans.s"), F.col("spans.e"))).select(*names)
