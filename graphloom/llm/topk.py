@@ -28,31 +28,31 @@ QUERY_BLOCK = 1024
 SCHEMA = "query_id long, vec_id long, score long"
 
 
-def threshold_search(q: np.ndarray, vectors: np.ndarray, order: np.ndarray, ids: np.ndarray, own: int, k: int, step: int = 16) -> list[tuple[int, int]]:
+def threshold_search(q: np.ndarray, vectors: np.ndarray, order: np.ndarray, ids: np.ndarray, own: int, k: int, step: int = 32) -> list[tuple[int, int]]:
     """The k best (score, id) of one query. order: row numbers by rising component, a column for each dimension; ids must rise with the row number."""
-    dims = np.flatnonzero(q)
-    n = len(ids)
-    lists = order[:, dims]
-    lists = np.where(q[dims] > 0, lists[::-1], lists)
-    weights = q[dims].astype(np.float64)
-    seen = np.zeros(n, dtype=bool)
-    score = np.empty(n)
+    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+    n, weights = len(ids), q.astype(np.float64)
+    open_ = np.ones(n, dtype=bool)
+    open_[np.searchsorted(ids, own) : np.searchsorted(ids, own, side="right")] = False
+    score = np.full(n, -np.inf)
     best, at = np.empty(0, dtype=np.int64), 0
-    while True:
-        new = np.unique(lists[at : at + step]) if len(dims) else np.arange(n)
-        new = new[~seen[new]]
-        seen[new] = True
-        score[new] = vectors[new] @ q.astype(np.float64)
-        pool = np.concatenate([best, new[ids[new] != own]])
+    while open_.any():
+        end = min(at + step, n)
+        met = np.zeros(n, dtype=bool)
+        met[order[n - end : n - at, up]] = True
+        met[order[at:end, down]] = True
+        new = np.flatnonzero(met & open_ if len(up) or len(down) else open_)
+        open_[new] = False
+        score[new] = vectors[new] @ weights
+        if len(best) >= k:
+            new = new[score[new] >= score[best[-1]]]
+        pool = np.concatenate([best, new])
         best = pool[np.lexsort((ids[pool], -score[pool]))[:k]]
-        at += step
-        if at >= n or not len(dims):
-            break
-        last = lists[min(at, n) - 1]
-        threshold = float(vectors[last, dims] @ weights)
-        # A tie with a smaller id could still be unseen, so the bound has to be below.
-        if len(best) >= k and threshold < score[best[-1]]:
+        # Whatever is unseen has no component beyond the list positions reached.
+        bound = vectors[order[n - end, up], up] @ weights[up] + vectors[order[end - 1, down], down] @ weights[down]
+        if len(best) >= k and bound < score[best[-1]]:  # at a tie a smaller id may be unseen
             break
+        at, step = end, 2 * step
     return [(int(score[i]), int(ids[i])) for i in best]
 
 
@@ -86,7 +86,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.size("embedding").alias("dim"), is_query.alias("is_query")
     )
     n, n_queries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0))).first()
-    block_rows = block_rows or max(512, min(8192, n // 128))
+    block_rows = block_rows or max(512, min(8192, n // 24))
     blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // QUERY_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     part = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
