@@ -118,18 +118,18 @@ def save(graph: PropertyGraph, path: str, version: int, ops: list[DataFrame] = (
         "edges": {n: [t.src_label, t.dst_label] for n, t in graph.edges.items()},
         "indexes": sorted([i.kind, i.label, i.property] for i in graph.indexes),
     }
-    new, fs = _hadoop(spark, f"{path}/_manifest.new")
+    new, fs = _hadoop(spark, f"{path}/manifest.new")
     out = fs.create(new, True)
     out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
-    old, _ = _hadoop(spark, f"{path}/_manifest")
+    old, _ = _hadoop(spark, f"{path}/manifest.json")
     fs.delete(old, False)
     fs.rename(new, old)
 
 
 def load(spark: SparkSession, path: str) -> PropertyGraph:
     """The last committed version."""
-    m = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/_manifest").collect()))
+    m = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))
     base = f"{path}/v={m['version']}"
     nodes = {n: NodeTable(spark.read.parquet(f"{base}/nodes/{n}"), tuple(a), tuple(b)) for n, (a, b) in m["nodes"].items()}
     edges = {n: EdgeTable(spark.read.parquet(f"{base}/edges/{n}"), n, a, b) for n, (a, b) in m["edges"].items()}
