@@ -162,7 +162,9 @@ class ArchiveReader(DataSourceReader):
             files = json.loads(f.read())
         return [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size, _ in files for at in range(0, size, self.range_bytes)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archives, so no ranges
+            return
         store, root = _fs(self.path)
         ids, media, held = [], [], 0
         with store.open_input_file(f"{root}/{partition.name}") as f, zipfile.ZipFile(f) as archive:
