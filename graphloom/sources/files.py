@@ -77,7 +77,7 @@ def import_graph(nodes: DataFrame, edges: DataFrame, known_labels: list[str], kn
         if not edges.join(ids.withColumnRenamed("tempId", end), end, "left_anti").isEmpty():
             raise GraphError("NOT_FOUND", f"an edge's {end} is no tempId")
     key = F.struct("from", "to", "type", *(c for c in edges.columns if c not in ("from", "to", "type")))
-    keyed = edges.withColumn("_k", key).groupBy("_k").agg(F.count(F.lit(1)).alias("m")).select(F.struct("_k", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("i")).alias("k"))
+    keyed = edges.withColumn("_k", key).groupBy("_k").agg(F.count(F.lit(1)).alias("m")).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).select(F.struct("_k", "i").alias("k"))
     keyed = dense_index(keyed, "k", "_n").select((F.col("_n") + 1).alias("id"), "k._k.*")
     src, dst = (ids.select(F.col("tempId").alias(e), F.col("id").alias(k)) for e, k in (("from", "src"), ("to", "dst")))
     rows = keyed.join(src, "from").join(dst, "to").drop("from", "to")
