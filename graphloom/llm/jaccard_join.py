@@ -2,18 +2,19 @@
 
 1. A document becomes the sorted array of its distinct shingles (64-bit names). Documents with
    equal sets are one node.
-2. Prefix filter: under any common order of shingles two linked sets share one of their first
-   n - ceil(t * n) + 1 shingles. The order is by name, but shingles that fill large tiles come
+2. Prefix filter: under any common order of shingles two linked sets share k of their first
+   n - ceil(t * n) + k shingles (shares() says which k). The order is by name, but shingles that fill large tiles come
    last; that list is bounded (HEAVY) and changes which candidates arise, never the result.
-3. Nodes that share a prefix shingle form a tile, banded by size. Inside a tile, hashed bitmap
-   signatures bound the overlap from above: every bit that differs is an element that only one
-   set has. Tiles over TILE nodes are not compared; their nodes of neighbouring bands count as
-   candidates of each other. Either way a tile returns at most one edge for each node, so candidates
-   are a graph whose components hold all links.
-4. Each component is verified with exact intersections of sorted arrays, in blocks of at most
-   BLOCK nodes: every block with the first one, and then what is still apart with every block. A
-   pair that is already connected through verified links needs no check, so a group of copies
-   costs in proportion to its size, while no link between different texts is lost.
+3. Nodes that share a prefix shingle form a tile. Tiles of at most TILE nodes give the pairs of
+   fitting sizes; a pair that occurs in k tiles is a candidate if hashed bitmap signatures, which
+   bound the overlap from above (every bit that differs is an element that only one set has), let
+   it pass. Larger tiles are banded by size and make no pairs: their nodes of neighbouring bands
+   join one group of candidates, by one edge a node.
+4. Groups are verified with exact intersections of sorted arrays, in blocks of at most BLOCK
+   nodes: every block with the first one, and then what is still apart with every block. A pair
+   that is already connected through verified links needs no check, so a group of copies costs in
+   proportion to its size, while no link between different texts is lost. The candidate pairs that
+   are not connected by then are verified one by one.
 
 Defined results: null or blank text has no shingles and is linked with nothing; repeated rows
 are linked (equal sets) unless empty; rows without an id get the component's id; an empty table
@@ -33,16 +34,16 @@ from graphloom.llm.common import drop_written, materialize, small_batches
 from graphloom.llm.suffix_dedup import _BYTE, mix
 from graphloom.operators.connected import connected_components
 
-TILE = 64
-BLOCK = 256
-#: At most so many shingles are put last, those of the largest tiles.
-HEAVY = 50_000
+TILE = 128
+BLOCK = 512
+#: At most so many shingles are put last, those of the largest tiles of LARGE nodes or more.
+HEAVY, LARGE = 200_000, 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shingle_sets(texts: list[str | None], size: int, chunk: int = 4 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], size: int, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """The sorted distinct shingle names of each text, as int64."""
     group, held = [], 0
     for k, text in enumerate(texts):
@@ -82,9 +83,14 @@ def set_name(s: np.ndarray) -> int:
     return int(mix(np.atleast_1d(mix(s.view(np.uint64), 7).sum(dtype=np.uint64)), len(s)).view(np.int64)[0])
 
 
+def shares(n):
+    """So many prefix shingles have to be shared: a longer prefix that shares more rules out texts that have only a passage in common."""
+    return 1 + n // 32
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """Two sets that link share one of so many first elements: n - ceil(n * t) + 1."""
-    return n - -(-n * num // den) + 1
+    """Two linked sets share shares(n), n of the smaller one, of so many first elements."""
+    return min(n, n - -(-n * num // den) + shares(n))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -123,12 +129,14 @@ class Forest:
         return True
 
 
-def _words(maps: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(len(maps), -1)
+def _folded(map_: bytes, width: int) -> np.ndarray:
+    """A signature at a smaller width: its parts laid over each other."""
+    words = np.frombuffer(map_, dtype=np.uint64)
+    return np.bitwise_or.reduce(words.reshape(-1, width // 8), axis=0)
 
 
-def _tile_pairs(token: np.ndarray, n: np.ndarray, maps: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs within runs of one token that the bitmaps let pass. Rows are sorted by token."""
+def _tile_pairs(token: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of fitting sizes within runs of one token. Rows are sorted by token."""
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[starts, len(token)])
     rank = np.arange(len(token)) - np.repeat(starts, size)
@@ -136,34 +144,18 @@ def _tile_pairs(token: np.ndarray, n: np.ndarray, maps: list[bytes], num: int, d
     left = np.repeat(np.arange(len(token)), after)
     right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
     ok = np.minimum(n[left], n[right]) * den >= np.maximum(n[left], n[right]) * num
-    left, right = left[ok], right[ok]
-    bits = np.array([len(m) for m in maps])
-    same = bits[left] == bits[right]
-    passed = ~same  # signatures of different widths bound nothing
-    for width in np.unique(bits[left[same]]) if len(left) else ():
-        rows = np.flatnonzero(bits == width)
-        where = np.zeros(len(bits), dtype=np.int64)
-        where[rows] = np.arange(len(rows))
-        table = _words([maps[i] for i in rows])
-        sel = np.flatnonzero(same & (bits[left] == width))
-        for part in np.array_split(sel, max(1, len(sel) * int(width) // (32 << 20))):
-            differ = np.bitwise_count(table[where[left[part]]] ^ table[where[right[part]]]).sum(axis=1, dtype=np.int64)
-            total = n[left[part]] + n[right[part]]
-            passed[part] = (total - differ) // 2 >= needed(n[left[part]], n[right[part]], num, den)
-    return left[passed], right[passed]
+    return left[ok], right[ok]
 
 
 def _candidates(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges that span the bound-passing pairs of each tile. tiles: token, u, n, bitmap."""
+    """The pairs of small tiles that share enough prefix shingles. tiles: token, u, n."""
     dealt = tiles.repartition("token").sortWithinPartitions("token")
 
-    def edges(b: pd.DataFrame) -> pd.DataFrame:
-        u = b["u"].to_numpy()
-        left, right = _tile_pairs(b["token"].to_numpy(), b["n"].to_numpy(), list(map(bytes, b["bitmap"])), num, den)
-        forest = Forest()
-        pairs = np.unique(np.c_[u[left], u[right]], axis=0) if len(left) else np.empty((0, 2), dtype=np.int64)
-        kept = [(x, y) for x, y in pairs.tolist() if forest.join(x, y)]
-        return pd.DataFrame(kept, columns=["v", "w"], dtype="int64")
+    def pairs(b: pd.DataFrame) -> pd.DataFrame:
+        u, n = b["u"].to_numpy(), b["n"].to_numpy()
+        left, right = _tile_pairs(b["token"].to_numpy(), n, num, den)
+        found, c = np.unique(np.c_[np.minimum(u[left], u[right]), np.maximum(u[left], u[right]), np.minimum(n[left], n[right])], axis=0, return_counts=True)
+        return pd.DataFrame({"v": found[:, 0], "w": found[:, 1], "n": found[:, 2], "c": c})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -173,11 +165,28 @@ def _candidates(tiles: DataFrame, num: int, den: int) -> DataFrame:
             whole = token != token[-1]
             held = b[~whole]
             if whole.any():
-                yield edges(b[whole])
+                yield pairs(b[whole])
         if held is not None and len(held):
-            yield edges(held)
+            yield pairs(held)
+
+    found = dealt.mapInPandas(run, "v long, w long, n long, c long").groupBy("v", "w", "n").agg(F.sum("c").alias("c"))
+    return found.filter(F.col("c") >= 1 + F.floor(F.col("n") / 32)).select("v", "w")
+
+
+def _bounded(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose signatures leave room for enough overlap."""
+    side = lambda k: maps.select(F.col("u").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bitmap_{k}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            differ = []
+            for x, y in zip(b["bitmap_v"], b["bitmap_w"]):
+                width = min(len(x), len(y))
+                differ.append(int(np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(dtype=np.int64)))
+            total = b["n_v"] + b["n_w"]
+            yield b[["v", "w"]][(total - np.array(differ, dtype=np.int64)) // 2 >= needed(b["n_v"], b["n_w"], num, den)]
 
-    return dealt.mapInPandas(run, "v long, w long")
+    return pairs.join(side("v"), "v").join(side("w"), "w").mapInPandas(run, "v long, w long")
 
 
 def verify_block(u: list, sets: list[np.ndarray], label: list, first: list, num: int, den: int) -> list[tuple[int, int]]:
@@ -188,7 +197,7 @@ def verify_block(u: list, sets: list[np.ndarray], label: list, first: list, num:
     for x, l in zip(u, label):
         forest.join(x, known.setdefault(l, x))
     n = np.array([len(s) for s in sets])
-    bits = 1 << min(15, max(9, int(n.max()).bit_length()))
+    bits = 1 << min(12, max(9, int(n.max()).bit_length()))
     maps = np.zeros((len(u), bits), dtype=np.uint8)
     for i, s in enumerate(sets):
         maps[i, (mix(s.view(np.uint64), 13) >> np.uint64(40)).astype(np.int64) & (bits - 1)] = 1
@@ -199,6 +208,7 @@ def verify_block(u: list, sets: list[np.ndarray], label: list, first: list, num:
         differ = np.bitwise_count(maps ^ maps[i]).sum(axis=1, dtype=np.int64)
         bound = (n + n[i] - differ) // 2 - needed(n, n[i], num, den)
         bound[i] = -1
+        bound[np.minimum(n, n[i]) * den < np.maximum(n, n[i]) * num] = -1
         other = order[bound[order] >= 0]
         for j in other[np.argsort(-bound[other], kind="stable")]:
             if forest.find(u[i]) == forest.find(u[j]):
@@ -221,17 +231,20 @@ def _verify(groups: DataFrame, keys: list[str], size: int, num: int, den: int) -
     return groups.groupBy(*keys).applyInPandas(run, "v long, w long")
 
 
-def _scan(keyed: DataFrame, size: int) -> DataFrame:
+def _scan(keyed: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Each row's set: n, u, and its prefix in the order of names."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = list(shingle_sets(b["text"].tolist(), size))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "id": b["id"], "h": b["h"], "n": np.array([len(s) for s in sets], dtype="int64"), "u": np.array([set_name(s) for s in sets], dtype="int64")})
+            out = {"doc_id": b["doc_id"].astype("Int64"), "id": b["id"], "h": b["h"], "n": np.array([len(s) for s in sets], dtype="int64"), "u": np.array([set_name(s) for s in sets], dtype="int64")}
+            yield pd.DataFrame(out | {"prefix": [s[: prefix_length(len(s), num, den)] if len(s) else s for s in sets]})
 
-    return keyed.mapInPandas(run, "doc_id long, id long, h long, n long, u long")
+    return keyed.mapInPandas(run, "doc_id long, id long, h long, n long, u long, prefix array<long>")
 
 
-def _prefixes(keyed: DataFrame, size: int, num: int, den: int, last: np.ndarray, count: bool) -> DataFrame:
-    """token, u, n of prefix shingles; or token, c: in how many different sets of a batch it is."""
+def _prefixes(keyed: DataFrame, size: int, num: int, den: int, last: np.ndarray) -> DataFrame:
+    """token, u: prefixes in the order that puts the shingles of `last` at the end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -243,18 +256,29 @@ def _prefixes(keyed: DataFrame, size: int, num: int, den: int, last: np.ndarray,
                 if len(last):
                     heavy = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                     s = np.r_[s[~heavy], s[heavy]]
-                s = s[: prefix_length(len(s), num, den)] if len(s) else s
+                s = s[: prefix_length(len(s), num, den)]
                 tokens.append(s)
                 us.append(u)
                 ns.append(len(s))
             token = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.int64)
-            if count:
-                token, c = np.unique(token, return_counts=True)
-                yield pd.DataFrame({"token": token, "c": c})
-            else:
-                yield pd.DataFrame({"token": token, "u": np.repeat(np.array(us, dtype=np.int64), ns)})
+            yield pd.DataFrame({"token": token, "u": np.repeat(np.array(us, dtype=np.int64), ns)})
+
+    return keyed.mapInPandas(run, "token long, u long")
+
 
-    return keyed.mapInPandas(run, "token long, c long" if count else "token long, u long")
+def _verify_pairs(pairs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs that link."""
+    texts = lambda k: nodes.select(F.col("u").alias(k), F.col("text").alias(f"text_{k}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            links = []
+            for x, y in zip(*(shingle_sets(b[f"text_{k}"].tolist(), size) for k in "vw")):
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                links.append(den * same >= num * (len(x) + len(y) - same))
+            yield b[["v", "w"]][np.array(links, dtype=bool)]
+
+    return pairs.join(texts("v"), "v").join(texts("w"), "w").mapInPandas(run, "v long, w long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -263,38 +287,42 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     spark = docs.sparkSession
     small_batches(spark, 512)
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"))
-    rows = materialize(_scan(keyed, size))
+    scanned = materialize(_scan(keyed, size, num, den))
+    rows = scanned.drop("prefix")
     sets = rows.filter("n > 0").groupBy("u").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("id", "h")).alias("row"))
     sets = materialize(sets.select("u", "n", "least", "row.*"))
 
-    counts = _prefixes(keyed, size, num, den, np.empty(0, dtype=np.int64), True).groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") > TILE)
+    counts = scanned.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE)
     last = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("c"), "token").limit(HEAVY).select("token").collect()], dtype=np.int64))
-    entries = materialize(_prefixes(keyed, size, num, den, last, False))
+    entries = materialize(_prefixes(keyed, size, num, den, last))
     shared = entries.groupBy("token").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("token")
     entries2 = materialize(entries.join(shared, "token", "left_semi").distinct().join(sets.select("u", "n"), "u"))
     drop_written(entries)
 
-    # The texts of nodes that have any candidate.
-    used = entries2.select("u").distinct().join(sets.select("u", "id", "h"), "u")
-    texts = keyed.select("id", "h", "text").join(used, ["id", "h"]).dropDuplicates(["u"]).select("u", "text")
-    nodes = materialize(texts)
-
-    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"u": b["u"], "bitmap": [bitmap(s) for s in shingle_sets(b["text"].tolist(), size)]})
-
-    maps = materialize(nodes.mapInPandas(signatures, "u long, bitmap binary"))
     tile_size = entries2.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     small = entries2.join(tile_size.filter(F.col("m") <= TILE).select("token"), "token", "left_semi")
     band = F.floor(F.log("n") / float(-np.log(num / den))).alias("band")
     large = entries2.join(tile_size.filter(F.col("m") > TILE).select("token"), "token", "left_semi").select("token", "u", band)
     leaders = large.groupBy("token", "band").agg(F.min("u").alias("w"))
     near = leaders.unionByName(leaders.withColumn("band", F.col("band") - 1))
-    star = large.join(near, ["token", "band"]).select(F.col("u").alias("v"), "w")
+    star = large.join(near, ["token", "band"]).select(F.col("u").alias("v"), "w").filter("v <> w")
     small_batches(spark, 4096)
-    edges = materialize(_candidates(small.join(maps, "u"), num, den).unionByName(star.distinct()).filter("v <> w"))
-    coarse = materialize(connected_components(edges).withColumnRenamed("node", "u"))
-    drop_written(entries2, maps, edges)
+    pairs = materialize(_candidates(small, num, den))
+    coarse = materialize(connected_components(star.distinct()).withColumnRenamed("node", "u"))
+    drop_written(entries2)
+
+    # The texts and signatures of nodes that have any candidate.
+    used = pairs.select(F.col("v").alias("u")).unionByName(pairs.select(F.col("w").alias("u"))).unionByName(coarse.select("u")).distinct().join(sets.select("u", "id", "h"), "u")
+    small_batches(spark, 512)
+    nodes = materialize(keyed.select("id", "h", "text").join(used, ["id", "h"]).dropDuplicates(["u"]).select("u", "text"))
+
+    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = list(shingle_sets(b["text"].tolist(), size))
+            yield pd.DataFrame({"u": b["u"], "n": np.array([len(x) for x in found], dtype="int64"), "bitmap": list(map(bitmap, found))})
+
+    maps = materialize(nodes.mapInPandas(signatures, "u long, n long, bitmap binary"))
+    pairs = materialize(_bounded(pairs, maps, num, den))
 
     # Blocks of a component: each with the first one.
     count = coarse.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -303,7 +331,6 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     groups = placed.filter("block > 0").select("component", "block", "u", "text", F.lit(False).alias("first")).unionByName(pivot.select("component", "block", "u", "text", F.lit(True).alias("first")))
     # Nodes of block k > 0 are first too: pairs inside the block count as well.
     groups = groups.select("component", "block", "u", "text", F.lit(True).alias("first"), F.col("u").alias("label"))
-    small_batches(spark, 512)
     links = materialize(_verify(groups, ["component", "block"], size, num, den))
     found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
 
@@ -318,8 +345,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     a = rest.withColumn("block", every("blocks")).select("component", "lot", "block", "u", "label", "text", F.lit(True).alias("first"))
     b = split.join(lots, "component").withColumn("lot", every("lots")).select("component", "lot", "block", "u", "label", "text", F.lit(False).alias("first"))
     more = materialize(_verify(a.unionByName(b), ["component", "lot", "block"], size, num, den))
+    links = links.unionByName(more)
     if not more.isEmpty():
-        found = materialize(connected_components(links.unionByName(more)).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
+        found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
+    # Pairs of small tiles that are not connected yet.
+    label = lambda k: found.select(F.col("u").alias(k), F.col("label").alias(f"label_{k}"))
+    pairs = pairs.join(label("v"), "v", "left").join(label("w"), "w", "left").filter(F.coalesce("label_v", "v") != F.coalesce("label_w", "w")).select("v", "w")
+    links = materialize(links.unionByName(_verify_pairs(pairs, nodes, size, num, den)))
+    found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
 
     named = sets.select("u", "least").join(found, "u", "left").withColumn("label", F.coalesce("label", "u"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -327,7 +360,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "id", "h", "label"]
     linked = rows.filter("n > 0").join(component, "u").select(*columns)
     out = linked.unionByName(rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "label": F.lit(None).cast("long")}).select(*columns))
-    drop_written(nodes, placed)
+    drop_written(nodes, maps, placed)
     return out
 
 
