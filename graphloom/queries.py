@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.fluent import Traversal
 from graphloom.functions.values import Value, collect, count, greatest, least, mean, total
 from graphloom.model import PropertyGraph
-from graphloom.operators import components, paths, ranking, schema
+from graphloom.operators import components, paths, ranking, schema, shape
 from graphloom.operators.writes import Transaction
 from graphloom.plans.match import hop, match, neighbours, node
 from graphloom.sources import files
@@ -607,6 +607,36 @@ def schema_dominant(g):
     return schema.dominant_endpoints(_only(g, ("Customer", "Purchase", "Nation", "Region"), ("PLACED", "IN_REGION")))
 
 
+# Shapes
+@query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM region) AS nodes, 0 AS in_region, 0 AS lives_in, 0 AS placed")
+def visible_graph(g):
+    g = shape.visible(_only(g, ("Customer", "Nation", "Region", "Purchase"), ("LIVES_IN", "IN_REGION", "PLACED")), hidden_labels=("Nation", "Purchase"))
+    n = lambda t: F.lit(g.edge_frame(t, props=False).count())
+    return g.scan().agg(F.count(F.lit(1)).alias("nodes")).select("nodes", n("IN_REGION").alias("in_region"), n("LIVES_IN").alias("lives_in"), n("PLACED").alias("placed"))
+
+
+@query("SELECT r_regionkey AS key, CASE WHEN r_regionkey < 2 THEN 'new ' || r_name ELSE r_name END AS name FROM region")
+def merged_graph(g):
+    old = _only(g, ("Region",), ())
+    new = PropertyGraph({"Region": type(old.nodes["Region"])(old.scan().filter(F.col("id") % SHIFT < 2).withColumn("name", F.concat(F.lit("new "), "name")), ("Region",))}, {})
+    return shape.merged(old, new).scan().select((F.col("id") % SHIFT).cast("int").alias("key"), "name")
+
+
+@query("SELECT n_name AS label FROM nation UNION ALL SELECT r_name FROM region")
+def display_labels(g):
+    m = match(g, node("n", "Nation"), hop("IN_REGION"), node("r", "Region"))
+    found = shape.records(m.df, "n", "r")
+    return found.select(shape.display_label(found).alias("label"))
+
+
+@query("SELECT 20000 AS edges, true AS skewed")
+def synthetic_graph(g):
+    from graphloom.sources.datasets import synthetic
+
+    e = synthetic(g.scan().sparkSession, 1000, 20000).edge_frame("LINKS")
+    return e.agg(F.count(F.lit(1)).cast("int").alias("edges"), (F.avg("src") < 0.75 * F.avg("dst")).alias("skewed"))
+
+
 # Writes: the state after
 @query("SELECT n_name AS name, 'capital of ' || n_name AS title FROM nation")
 def create_per_match(g):

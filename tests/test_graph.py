@@ -230,3 +230,40 @@ def test_files(spark, people, tmp_path):
     (tmp_path / "g.json").write_text('{"nodes": [{"tempId": "1", "labels": ["A"], "properties": {"x": 2}}], "edges": []}')
     n, e = files.read_json(spark, f"file://{tmp_path}/g.json", "x double", "w double")
     assert n.first()["x"] == 2 and e.count() == 0
+
+
+def test_random_graphs(spark):
+    """Chains and undirected hops against a plain evaluator."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(3):
+        edges = [(rng.randrange(5), rng.randrange(5), "R") for _ in range(7)]
+        g = simple(spark, 5, edges)
+        ways = [(i, a, b) for i, (a, b, _) in enumerate(edges)]
+        for direction in ("out", "both"):
+            near = ways if direction == "out" else ways + [(i, b, a) for i, a, b in ways if a != b]
+            walks, expected = [(n, n, ()) for n in range(5)], []
+            for _ in range(3):
+                walks = [(s, b, (*used, i)) for s, at, used in walks for i, a, b in near if a == at and i not in used]
+                expected += [(s, at) for s, at, _ in walks]
+            m = match(g, node("s"), hop("R", direction=direction, least=1, most=3), node("t"))
+            assert sorted(map(tuple, m.returns(lambda v: {"s": v.s.id, "t": v.t.id}).collect())) == sorted(expected)
+            two = match(g, node("s"), hop("R", direction=direction), node("x"), hop("R", direction=direction), node("t"))
+            assert two.df.count() == sum(1 for _, _, b in near for _, a, _ in near if a == b)
+
+
+def test_feed(spark, tmp_path, people):
+    from graphloom.streaming import feed
+
+    path = f"file://{tmp_path}/v"
+    for tx, label in ((5, "City"), (6, "River")):
+        t = Transaction(people)
+        t.create_nodes(label, spark.createDataFrame([("x",)], "name string"), "name")
+        files.save(t.commit(), path, tx, t.log)
+    got: list = []
+    stream = feed.subscribe(spark, f"{path}/ops")
+    feed.deliver(stream, lambda b: got.extend(b.collect()), f"file://{tmp_path}/checkpoint", labels=("River",)).awaitTermination()
+    assert [(r["tx_id"], r["op"], r["name"]) for r in got] == [(6, "createNode", "River")]
+    with pytest.raises(GraphError, match="resync"):
+        feed.subscribe(spark, f"{path}/ops", from_tx=2)
