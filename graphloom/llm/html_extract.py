@@ -53,8 +53,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"(<(?:[a-zA-Z/](?:[^>\"']|\"[^\"]*\"|'[^']*')*|[!?][^>]*)>|<[a-zA-Z/][^>]*>|<[a-zA-Z/!?][^>]*\Z)")
 NAME = re.compile(r"</?\s*([a-zA-Z][^\s/>]*)")
-ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
+WORDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
 def _named(attrs: str) -> tuple[bool, str]:
@@ -63,13 +64,13 @@ def _named(attrs: str) -> tuple[bool, str]:
         return False, ""
     bad, classes = False, ""
     for kind, a, b, c in ATTR.findall(attrs):
-        value = (a or b or c).lower()
+        value = a or b or c
         if kind.lower() == "role":
-            bad |= value in ROLES
+            bad |= value.lower() in ROLES
             continue
-        bad |= any(w in NAMES for w in re.split(r"[\s_-]+", value))
+        bad |= any(w.lower() in NAMES for w in WORDS.split(value))
         if kind.lower() == "class":
-            classes = ".".join(sorted(value.split()))
+            classes = ".".join(sorted(value.lower().split()))
     return bad, classes
 
 
