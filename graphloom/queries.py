@@ -648,13 +648,13 @@ def create_per_match(g):
     return m.returns(lambda v: {"name": v.n.name, "title": v.c.title})
 
 
-@query("SELECT s_suppkey AS key, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS acctbal, CASE WHEN s_acctbal < 0 THEN true END AS flagged FROM supplier")
+@query("SELECT s_suppkey AS key, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS acctbal, CASE WHEN s_acctbal < 0 THEN 'true' ELSE 'absent' END AS flagged FROM supplier")
 def set_remove(g):
     t = Transaction(_only(g, ("Supplier", "Nation"), ("BASED_IN",)))
     poor = match(t.graph, node("s", "Supplier")).where(lambda v: v.s.acctbal < 0).returns(lambda v: {"id": v.s.id})
     t.set_props("Supplier", poor.withColumn("flagged", F.lit(True)))
     t.remove_props("Supplier", poor, "acctbal")
-    return match(t.commit(), node("s", "Supplier")).returns(lambda v: {"key": _key(v.s.id), "acctbal": v.s.acctbal, "flagged": Value(F.col("s__flagged"), "other")})
+    return match(t.commit(), node("s", "Supplier")).returns(lambda v: {"key": _key(v.s.id), "acctbal": v.s.acctbal, "flagged": Value(F.coalesce(v.s.flagged.col.cast("string"), F.lit("absent")), "string")})
 
 
 @query("SELECT (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') AS customers, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING') AS placed")
@@ -709,14 +709,11 @@ def _csv(spark: SparkSession, text: str) -> DataFrame:
     return files.read_csv(spark, path)
 
 
-@query("SELECT * FROM (VALUES ('1', 'Person|Author', 'Ada, \"A\"', 1815.0::DOUBLE, true), ('2', 'Person', 'Bob', NULL, NULL)) t(\"tempId\", labels, name, born, active)")
+@query("SELECT * FROM (VALUES ('1', 'Person|Author', 'Ada, \"A\"', 1815.0::DOUBLE, 'true'), ('2', 'Person', 'Bob', NULL, 'absent')) t(\"tempId\", labels, name, born, active)")
 def csv_import_nodes(g):
     spark = g.scan().sparkSession
     df = files.nodes_from_csv(_csv(spark, 'tempId,:label,name:string,born:number,active:boolean\n1,Person|Author,"Ada, ""A""",1815,true\n2,Person,Bob,,'))
-    return df.withColumn("labels", F.array_join("labels", "|"))
-
-
-@query("SELECT * FROM (VALUES ('1', '2', 'KNOWS', 5.0::DOUBLE), ('2', '1', 'LIKES', NULL)) t(\"from\", \"to\", type, weight)")
+XX, 5.0::DOUBLE), ('2', '1', 'LIKES', NULL)) t(\"from\", \"to\", type, weight)")
 def csv_import_edges(g):
     return files.edges_from_csv(_csv(g.scan().sparkSession, ":from,:to,:type,weight:number\n1,2,KNOWS,5\n2,1,LIKES,"))
 
