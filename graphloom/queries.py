@@ -713,7 +713,10 @@ def _csv(spark: SparkSession, text: str) -> DataFrame:
 def csv_import_nodes(g):
     spark = g.scan().sparkSession
     df = files.nodes_from_csv(_csv(spark, 'tempId,:label,name:string,born:number,active:boolean\n1,Person|Author,"Ada, ""A""",1815,true\n2,Person,Bob,,'))
-XX, 5.0::DOUBLE), ('2', '1', 'LIKES', NULL)) t(\"from\", \"to\", type, weight)")
+    return df.withColumns({"labels": F.array_join("labels", "|"), "active": F.coalesce(F.col("active").cast("string"), F.lit("absent"))})
+
+
+@query("SELECT * FROM (VALUES ('1', '2', 'KNOWS', 5.0::DOUBLE), ('2', '1', 'LIKES', NULL)) t(\"from\", \"to\", type, weight)")
 def csv_import_edges(g):
     return files.edges_from_csv(_csv(g.scan().sparkSession, ":from,:to,:type,weight:number\n1,2,KNOWS,5\n2,1,LIKES,"))
 
