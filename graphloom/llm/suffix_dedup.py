@@ -139,6 +139,11 @@ def _anchors(keyed: DataFrame, t: int, gram: int) -> DataFrame:
     return keyed.mapInPandas(run, "id long, h long, gram long, block long, at long")
 
 
+def _several(rows: DataFrame, rank: str) -> DataFrame:
+    """Ranks that occur more than once. Written, so that in a join on a hot rank both sides come from a plain shuffle, which Spark can split."""
+    return materialize(rows.groupBy(rank).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(rank))
+
+
 def _rerank(rows: DataFrame, outer: str, inner: str) -> tuple[DataFrame, DataFrame]:
     """Pairs of ranks that occur again, and one example row of each pair that stays open: the
     pairs whose outer rank occurs with other inner ranks too."""
@@ -222,14 +227,15 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
     slim = keyed.select("id", "h", "text")
     anchors = materialize(_anchors(slim.filter(F.octet_length("text") >= t), t, gram))
-    again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    again = _several(anchors, "gram")
     shared = materialize(anchors.join(again, "gram", "left_semi"))
+    drop_written(anchors, again)
     equal, open_ = _rerank(shared, "gram", "block")
     blocks = materialize(_cut_blocks(slim, open_, t))
     pieces = materialize(_steps(blocks, t, step))
     equal_pieces, open_pieces = _rerank(pieces, "core", "full")
     windows = materialize(_windows(open_pieces, blocks, t, step))
-    repeated = windows.join(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "w", "left_semi")
+    repeated = windows.join(_several(windows, "w"), "w", "left_semi")
 
     lo, first = F.shiftright("at", 20), F.shiftright("at", 10)
     width = F.shiftright("at", 10).bitwiseAND(1023)
@@ -240,7 +246,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     single = repeated.select("id", "h", F.col("p").alias("s"), (F.col("p") + t).alias("e"))
     spans = whole_blocks.unionByName(whole_pieces).unionByName(single)
     spans = materialize(spans.groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    drop_written(anchors, shared, blocks, pieces, windows)
+    drop_written(shared, blocks, pieces, windows)
     return keyed.join(spans, ["id", "h"], "left")
 
 
