@@ -295,9 +295,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     counts = scanned.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE)
     last = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("c"), "token").limit(HEAVY).select("token").collect()], dtype=np.int64))
     entries = materialize(_prefixes(keyed, size, num, den, last))
-    shared = entries.groupBy("token").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("token")
+    # Written, so that both sides of the join come from a plain shuffle, which Spark can split at a hot shingle.
+    shared = materialize(entries.groupBy("token").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("token"))
     entries2 = materialize(entries.join(shared, "token", "left_semi").distinct().join(sets.select("u", "n"), "u"))
-    drop_written(entries)
+    drop_written(entries, shared)
 
     tile_size = entries2.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     small = entries2.join(tile_size.filter(F.col("m") <= TILE).select("token"), "token", "left_semi")
