@@ -130,7 +130,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int, generalise:
     joint = materialize(joint)
     wanted = joint.select("term").distinct()
     words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
-    n_term = words.join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Counted before the join: each task sends a term once, and the join sees no repeated terms (a semi join would be pushed below the count).
+    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_small(wanted), "term")
     n = docs.count()
     ratio = F.log(F.lit(n) * F.col("n") / (F.col("n_term") * F.col("n_value"))) / F.log(F.lit(n) / F.col("n_value"))
     strong = joint.join(n_term, "term").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise).select("value", "term", "ratio")
