@@ -5,14 +5,17 @@
    by an order-free digest, so grouping by (host, token) and then by (host, digest) needs no list
    of pages. Tokens of one vector form an equivalence class; a class of at least MIN_TOKENS tokens
    on at least MIN_PAGES pages is valid.
-3. Valid classes nest by their paths into the host's template. The main slot is the deepest
-   section of a once-a-page class that holds most of the text left over by the template. Text
-   blocks of such classes outside it are template, not content.
-4. What remains in the main slot, without menus, forms, adverts, notices, comments and the like,
-   is the page's text.
-
-Hosts with one page have no vectors to compare: there an article or main element is the slot, or
-else the whole body.
+3. Valid classes nest by their paths into the host's template. Text blocks of such classes are
+   template, wherever they are. The main slot is a section of a once-a-page class that holds most
+   of the text left over by the template: the deepest article or main element if one is among
+   these sections, else the deepest section.
+4. What remains in the main slot, without template, menus, forms, adverts, notices, comments and
+   the like, is the page's text.
+
+If most of a slot's text is template, the host's pages are near copies of one another: blocks in
+the slot stay. A slot with nothing but template on one page stays there, too. Pages without the
+slot, and hosts with one page (no vectors to compare), take an article or main element that holds
+most of the page's text, or else the whole body.
 
 Defined results: null html has empty text; a null or odd url has the host ""; repeated rows count
 as pages of their own; character references without an end are decoded as browsers do; a tag cut
@@ -141,67 +144,104 @@ def in_article_header(path: str) -> bool:
     return "header" in tags and tags[-1] not in HEADING
 
 
+def content(html: str) -> tuple[list[tuple[str, str, bool]], dict[str, int]]:
+    """parse() without what an article's header has besides headings."""
+    blocks, seen = parse(html)
+    return [x for x in blocks if not in_article_header(x[0])], seen
+
+
+def inside(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + "/")
+
+
 def _name(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) - (1 << 63)
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """host, token, path, pages, vector (digest), once (at most once a page), chars: summed by batch."""
+    """host, token, text (or an element), path, pages, vector (digest), once (at most once a page), chars: summed by batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sums: dict = {}
 
-            def add(host, token, path, page, n, chars):
-                old = sums.get((host, token), (path, 0, 0, True, 0))
-                sums[host, token] = (path, old[1] + 1, old[2] ^ _name(page, n), old[3] and n == 1, old[4] + chars)
+            def add(host, token, text, path, page, n, chars):
+                old = sums.get((host, token), (text, path, 0, 0, True, 0))
+                sums[host, token] = (text, path, old[2] + 1, old[3] ^ _name(page, n), old[4] and n == 1, old[5] + chars)
 
             for row, (page_id, host, html) in enumerate(zip(b["page_id"], b["host"], b["html"])):
                 page = f"{page_id}:{xxhash.xxh64_intdigest(html or '')}:{row}"
-                blocks, seen = parse(html or "")
+                blocks, seen = content(html or "")
                 chars: dict = defaultdict(int)
                 texts: dict = defaultdict(int)
-                for path, text, article in blocks:
-                    if not article:
-                        texts[path, text] += 1
+                for path, text, _ in blocks:
+                    texts[path, text] += 1
                     at = ""
                     for step in path.split("/")[1:]:
                         at = f"{at}/{step}"
                         chars[at] += len(text)
                 for path, n in seen.items():
-                    add(host, _name("e", path), path, page, n, chars[path])
+                    add(host, _name("e", path), False, path, page, n, chars[path])
                 for (path, text), n in texts.items():
-                    add(host, _name("t", path, text), None, page, n, 0)
-            yield pd.DataFrame([(h, t, *v) for (h, t), v in sums.items()], columns=["host", "token", "path", "pages", "vector", "once", "chars"])
+                    add(host, _name("t", path, text), True, path, page, n, n * len(text))
+            yield pd.DataFrame([(h, t, *v) for (h, t), v in sums.items()], columns=["host", "token", "text", "path", "pages", "vector", "once", "chars"])
+
+    return pages.mapInPandas(run, "host string, token long, text boolean, path string, pages long, vector long, once boolean, chars long")
 
-    return pages.mapInPandas(run, "host string, token long, path string, pages long, vector long, once boolean, chars long")
+
+def choose_slot(elements: list[tuple[str, bool, int]], texts: list[tuple[int, str, int]]) -> tuple[str | None, list[int]]:
+    """The main slot and the names of the template's blocks. elements: path, may it be the slot,
+    chars; texts: name, path, chars of the template's blocks."""
+    chars = {path: n for path, _, n in elements}
+    left = {path: n - sum(size for _, at, size in texts if inside(at, path)) for path, n in chars.items()}
+    if not any(left.values()):  # Nothing differs between the pages.
+        left = chars
+    most = max(left.values(), default=0)
+    slots = [path for path, able, _ in elements if able and 2 * left[path] > most]
+    if not slots:
+        return None, [name for name, *_ in texts]
+    slot = max(slots, key=lambda path: (path.split("/")[-1].split(".")[0] in ("article", "main"), path.count("/"), path))
+    copies = 2 * sum(size for _, at, size in texts if inside(at, slot)) > chars[slot]
+    return slot, [name for name, at, _ in texts if not (copies and inside(at, slot))]
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """host, slot (path of the main slot or null), texts (names of the template's text blocks)."""
-    tokens = _tokens(pages).groupBy("host", "token").agg(F.max("path").alias("path"), F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.min("once").alias("once"), F.sum("chars").alias("chars"))
-    tokens = materialize(tokens)
-    classes = tokens.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size")).filter((F.col("size") >= MIN_TOKENS) & (F.col("pages") >= MIN_PAGES)).drop("size")
-    hosts = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("chars").alias("host_chars"))
+    """host, slot (path of the main slot or null), texts (names of the template's text blocks), of hosts with several pages."""
+    tokens = _tokens(pages).groupBy("host", "token").agg(F.first("text").alias("text"), F.max("path").alias("path"), F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.min("once").alias("once"), F.sum("chars").alias("chars"))
+    # A token of one page is in no valid class.
+    tokens = materialize(tokens.filter(F.col("pages") >= MIN_PAGES))
+    classes = tokens.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= MIN_TOKENS).drop("size")
+    hosts = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"))
     section = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), 1).isin(*SECTION)
     template = tokens.join(classes, ["host", "vector", "pages"], "left_semi").join(hosts, "host")
-    slots = template.filter(F.col("path").isNotNull() & F.col("once") & section & (2 * F.col("pages") > F.col("host_pages")) & (2 * F.col("chars") > F.col("host_chars")))
-    slots = slots.groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), "path")).alias("slot"))
-    texts = template.filter(F.col("path").isNull() & (F.col("pages") >= TEXT_PAGES) & (F.col("pages") >= TEXT_SHARE * F.col("host_pages")))
-    # At most tokens-of-a-page / TEXT_SHARE blocks can be on such a share of a host's pages.
-    texts = texts.groupBy("host").agg(F.collect_list("token").alias("texts"))
-    return materialize(hosts.select("host").join(slots, "host", "left").join(texts, "host", "left"))
+    able = F.col("once") & section
+    element = ~F.col("text") & (2 * F.col("pages") > F.col("host_pages"))
+    text = F.col("text") & (F.col("pages") >= TEXT_PAGES) & (F.col("pages") >= TEXT_SHARE * F.col("host_pages"))
+    # At most tokens-of-a-page / share tokens can be on such a share of a host's pages.
+    lists = template.filter(element | text).groupBy("host").agg(
+        F.collect_list(F.when(element, F.struct("path", able.alias("able"), "chars"))).alias("elements"), F.collect_list(F.when(text, F.struct("token", "path", "chars"))).alias("blocks")
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [choose_slot([(e["path"], e["able"], e["chars"]) for e in es], [(t["token"], t["path"], t["chars"]) for t in ts]) for es, ts in zip(b["elements"], b["blocks"])]
+            yield pd.DataFrame({"host": b["host"], "slot": pd.Series([x[0] for x in found], dtype=object), "texts": pd.Series([x[1] for x in found], dtype=object)})
+
+    return materialize(lists.mapInPandas(run, "host string, slot string, texts array<long>"))
 
 
 def article_text(html: str, slot: str | None, template: frozenset[int]) -> str:
     """The text of one page under its host's template."""
-    blocks, _ = parse(html)
-    blocks = [x for x in blocks if not in_article_header(x[0])]
-    if any(article for *_, article in blocks):
-        return "\n".join(text for _, text, article in blocks if article)
-    kept = [(path, text) for path, text, _ in blocks if not template or _name("t", path, text) not in template]
-    inside = [text for path, text in kept if slot and (path == slot or path.startswith(slot + "/"))]
-    return "\n".join(inside or [text for _, text in kept])
+    blocks, _ = content(html)
+    kept = [x for x in blocks if not template or _name("t", *x[:2]) not in template]
+    if slot and any(inside(path, slot) for path, *_ in blocks):
+        found = [text for path, text, _ in kept if inside(path, slot)]
+        return "\n".join(found or [text for path, text, _ in blocks if inside(path, slot)])
+    kept = kept or blocks
+    article = [text for _, text, article in kept if article]
+    if 2 * sum(map(len, article)) > sum(len(text) for _, text, _ in kept):
+        return "\n".join(article)
+    return "\n".join(text for _, text, _ in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -334,6 +334,23 @@ def test_html_pages(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()} == want
 
 
+def test_html_template_decides(spark):
+    """Repeated notices inside an article go; a story in a div is not lost to article teasers."""
+    story = "a story of page {0} that is told at some length and not on any other page, with number {0}"
+    notice = f"<body><article><p>Read our terms of use.</p><h1>Head {{0}}</h1><p>{story}</p><p>All rights are reserved.</p></article></body>"
+    teasers = f"<body><div class='story'><h1>Head {{0}}</h1><p>{story}</p></div><article><p>teaser {{0}}</p></article><article><p>another {{0}}</p></article></body>"
+    rows = [(10 * k + i, f"http://{k}.example.com/{i}", page.format(i)) for k, page in enumerate([notice, teasers]) for i in range(7)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {10 * k + i: f"Head {i}\n{story.format(i)}" for k in range(2) for i in range(7)}
+
+
+def test_html_copies_stay(spark):
+    """Equal pages keep their text, as nothing tells template from story."""
+    rows = [(i, "http://a.example.com/", "<body><article><h1>Head</h1><p>story</p></article></body>") for i in range(6)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in got] == ["Head\nstory"] * 6
+
+
 def test_language_id(spark):
     """Held-out accuracy, and evidence where the text has none."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
