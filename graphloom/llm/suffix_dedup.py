@@ -242,7 +242,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     whole_blocks = shared.join(equal, ["gram", "block"], "left_semi").select("id", "h", lo.alias("s"), (lo + width + t).alias("e"))
     piece_of = pieces.join(equal_pieces, ["core", "full"], "left_semi").select("id", "h", first.alias("at"), F.col("at").bitwiseAND(1023).alias("j"))
     last = lo + F.col("at").bitwiseAND(1023) - F.col("j") * step
-    whole_pieces = piece_of.select("id", "h", (last - step + 1).alias("s"), (last + t).alias("e"))
+    # Of a repeated row even pieces that are not whole are equal: they end where their block does.
+    whole_pieces = piece_of.select("id", "h", F.greatest(last - step + 1, lo).alias("s"), (F.least(last, lo + width) + t).alias("e"))
     single = repeated.select("id", "h", F.col("p").alias("s"), (F.col("p") + t).alias("e"))
     spans = whole_blocks.unionByName(whole_pieces).unionByName(single)
     spans = materialize(spans.groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")))

@@ -71,6 +71,18 @@ def test_suffix_dedup(docs, pairs, t, gram, step):
     same(got, [(i, *x) for (i, _), x in zip(pairs, brute_repeats([x for _, x in pairs], t))])
 
 
+def test_suffix_dedup_repeated_row(spark):
+    """All of a repeated row goes, also when it opens with a passage that another text has in its middle."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(0, 80, 2):
+        opening = noise(260 + i)
+        rows += [(i, opening + noise(400))] * 2 + [(i + 1, noise(300 + i) + opening + noise(300))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.drop("kept").collect(), [(i, *x) for (i, _), x in zip(rows, brute_repeats([x for _, x in rows], 200))])
+
+
 def test_suffix_dedup_long_segments():
     """Segments of a long text overlap, so no window is lost between them."""
     rng = np.random.default_rng(1)
