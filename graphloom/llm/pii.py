@@ -3,11 +3,13 @@
 Base spans come from four patterns. What else gives a protected value away is measured on the
 corpus (Sanchez, Batet, Viejo 2013): a term t discloses the value e in proportion to
 
-    PMI(t; e) / IC(e) = log(N * n(t, e) / (n(t) * n(e))) / log(N / n(e)),
+    PMI(t; e) / IC(e) = log(N * p(t | e) / n(t)) / log(N / n(e)),
 
 counted over all documents. From `generalise` on, a term beside e is replaced by its class; from
-`remove` on it is taken out. Values and pairs need `support` different texts, so one text and its
-copies are no evidence.
+`remove` on it is taken out. All values and pairs are scored. p(t | e) is not n(t, e) / n(e) but the
+lower end of its Wilson interval over the different texts that have e (CONFIDENCE), so that one
+or two texts weigh what they can prove, and exact copies of a text prove no more than the text.
+A value of every document has no information (IC = 0), and nothing discloses it.
 
 Positions are code points. A match is found by regexp_replace() with marks around it, and its
 place is the length of what comes before; the marks are private characters that are taken out
@@ -38,6 +40,8 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 SPAN = "struct<start:int,kind_no:int,end:int,kind:string,value:string>"
 WORD = r"[\p{L}\p{N}]"
+#: z of the two-sided 97 % interval of p(t | e): of k of m texts with e that have t.
+CONFIDENCE = 2.1701
 #: A side of a join is broadcast if it has at most so many rows.
 BROADCAST_ROWS = 200_000
 
@@ -119,33 +123,45 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "id", "h", "spans", F.when(some, F.col("text")).alias("text"), F.when(some, _terms(masked)).alias("terms"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, support: int, generalise: float) -> DataFrame:
+def _lower(k: Column, m: Column) -> Column:
+    """Lower end of the Wilson interval of k of m."""
+    zz = CONFIDENCE**2
+    return (k + zz / 2 - CONFIDENCE * F.sqrt(k * (m - k) / m + zz / 4)) / (m + zz)
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float) -> DataFrame:
     """id, h, disclosed: for each row the terms that disclose one of its values, with the ratio."""
-    values = base.filter("terms is not null").select("id", "h", "terms", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("value"))
-    per_value = values.groupBy("value", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.sum("n").alias("n_value"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    pairs = values.join(per_value.select("value", "n_value"), "value").select("value", "n_value", "id", "h", F.explode("terms").alias("term"))
-    pairs = materialize(pairs)
-    joint = pairs.groupBy("value", "term", "h").agg(F.count(F.lit(1)).alias("n"), F.first("n_value").alias("n_value"))
-    joint = joint.groupBy("value", "term").agg(F.sum("n").alias("n"), F.first("n_value").alias("n_value"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
-    joint = materialize(joint)
-    wanted = joint.select("term").distinct()
+    some = base.filter("terms is not null")
+    values = materialize(some.select("id", "h", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("value")))
+    per_value = values.groupBy("value", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.sum("n").alias("n_value"), F.count(F.lit(1)).alias("texts"))
+    # All values that only one text has score alike there, so "" stands for them.
+    scored = F.when(F.col("texts") == 1, F.lit("")).otherwise(F.col("value")).alias("value")
+    lists = values.join(per_value, "value").groupBy("id", "h").agg(F.collect_set(F.struct(scored, "n_value", "texts")).alias("values"))
+    pairs = some.select("id", "h", "terms").dropDuplicates(["id", "h"]).join(lists, ["id", "h"]).select("id", "h", "terms", F.explode("values").alias("v"))
+    pairs = materialize(pairs.select("id", "h", "v.*", F.explode("terms").alias("term")))
+    once, more = pairs.filter("texts = 1"), pairs.filter("texts > 1")
+    joint = more.select("value", "term", "h", "n_value", "texts").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("k"), F.first("n_value").alias("n_value"), F.first("texts").alias("texts"))
+    wanted = materialize(pairs.select("term").distinct())
     words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
     # Counted before the join: each task sends a term once, and the join sees no repeated terms (a semi join would be pushed below the count).
-    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_small(wanted), "term")
+    n_term = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_small(wanted), "term"))
     n = docs.count()
-    ratio = F.log(F.lit(n) * F.col("n") / (F.col("n_term") * F.col("n_value"))) / F.log(F.lit(n) / F.col("n_value"))
-    strong = joint.join(n_term, "term").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise).select("value", "term", "ratio")
-    found = pairs.join(strong, ["value", "term"]).groupBy("id", "h", "term").agg(F.max("ratio").alias("ratio"))
+    ratio = F.try_divide(F.log(F.lit(n) * _lower(F.col("k"), F.col("texts")) / F.col("n_term")), F.log(F.lit(n) / F.col("n_value")))
+    strong = lambda df: df.join(_small(n_term), "term").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise)
+    found = strong(once.withColumn("k", F.lit(1))).select("id", "h", "term", "ratio")
+    found = found.unionByName(more.join(strong(joint).select("value", "term", "ratio"), ["value", "term"]).select("id", "h", "term", "ratio"))
+    # Dealt by row once, for both of the next steps.
+    found = found.repartition("id", "h").groupBy("id", "h", "term").agg(F.max("ratio").alias("ratio"))
     found = materialize(found.groupBy("id", "h").agg(F.collect_list(F.struct("term", "ratio")).alias("disclosed")))
-    drop_written(pairs, joint)
+    drop_written(values, pairs, wanted, n_term)
     return found
 
 
-def find_pii(docs: DataFrame, support: int = 3, generalise: float = 0.75) -> DataFrame:
+def find_pii(docs: DataFrame, generalise: float = 0.75) -> DataFrame:
     """doc_id, id, h, base (spans of the patterns), spans (with those of disclosing terms), disclosed."""
     docs = docs.select("doc_id", "text")
     base = materialize(base_spans(docs))
-    disclosed = disclosing_terms(docs, base, support, generalise)
+    disclosed = disclosing_terms(docs, base, generalise)
     # Some rows with spans get a pattern of their own terms: whole words, whatever their case.
     pattern = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.array_join(F.transform("disclosed", lambda d: d["term"]), "|"), F.lit(f")(?!{WORD})"))
     terms = base.filter("terms is not null").join(disclosed, ["id", "h"]).dropDuplicates(["id", "h"])
@@ -161,10 +177,10 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), _count(F.col("spans"), "term").alias("n_term"))
 
 
-def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
     """docs with the text sanitised: base spans become their kind in brackets, terms their class or nothing."""
     names = docs.columns
-    found = find_pii(docs, support, generalise).filter(F.size("spans") > 0).select("id", "h", "spans", "disclosed").dropDuplicates(["id", "h"])
+    found = find_pii(docs, generalise).filter(F.size("spans") > 0).select("id", "h", "spans", "disclosed").dropDuplicates(["id", "h"])
     found = found.withColumnsRenamed({"id": "_id", "h": "_h", "spans": "_spans", "disclosed": "_disclosed"})
     rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_h": F.xxhash64("text")}).join(found, ["_id", "_h"], "left")
     strong = F.transform(F.filter("_disclosed", lambda d: d["ratio"] >= remove), lambda d: d["term"])

@@ -186,6 +186,24 @@ def test_disclosing_terms(spark):
     assert {(r["doc_id"], r["text"]) for r in clean} == set(rows[6:])
 
 
+def test_terms_of_rare_values(spark):
+    """Values of one or two texts are scored too; words that other texts use stay."""
+    rows = [(i, f"plain common words of text{i} that all of them share") for i in range(4000)]
+    rows += [(9000, "common words Quixoticus share it one@example.com"), (9001, "plain Brobdingnag words a two@example.com"), (9002, "common Brobdingnag share b two@example.com")]
+    rows += [(9003, None), (9004, "nobody@example.com")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert texts[9000] == "common words [NAME] share it [EMAIL]"
+    assert texts[9001] == "plain [NAME] words a [EMAIL]" and texts[9002] == "common [NAME] share b [EMAIL]"
+    assert all(texts[i] == t for i, t in rows[:4000])
+
+
+def test_value_of_every_document(spark):
+    """Such a value has no information, so nothing discloses it."""
+    got = pii.sanitise(spark.createDataFrame([(1, "Zyzzyva met a@example.com")], "doc_id long, text string")).collect()
+    assert [r["text"] for r in got] == ["Zyzzyva met [EMAIL]"]
+
+
 def test_packing(docs, pairs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
