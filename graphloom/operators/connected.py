@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from graphloom.storage import drop_written, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. edges: v, w with v != w. Minima are pre-aggregated; the join back may be split if a centre is hot."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One step, and the minima that it reads. edges: v, w with v != w.
+
+    Minima are pre-aggregated and written: both sides of the join then come from plain shuffles, so
+    Spark can split the edges of a hot centre."""
     both = edges.unionByName(edges.select(F.col("w").alias("v"), F.col("v").alias("w"))) if large else edges.select(F.greatest("v", "w").alias("v"), F.least("v", "w").alias("w"))
-    low = both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m"))
+    low = materialize(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m")))
     near = both.join(low, "v")
     if large:
         out = near.filter(F.col("w") > F.col("v")).select(F.col("w").alias("v"), F.col("m").alias("w"))
     else:
         out = near.select(F.col("w").alias("v"), F.col("m").alias("w")).unionByName(low.select("v", F.col("m").alias("w")))
-    return out.filter("v <> w").distinct()
+    return materialize(out.filter("v <> w").distinct(), release=True), low
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,10 +31,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(F.col(v).alias("v"), F.col(w).alias("w")).filter("v <> w").distinct())
     mark = None
     for _ in range(max_rounds):
-        half = materialize(_star(now, large=True))
-        nxt = materialize(_star(half, large=False))
+        half, low = _star(now, large=True)
+        nxt, low2 = _star(half, large=False)
         seen = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)"))).first()
-        drop_written(now, half)
+        drop_written(now, half, low, low2)
         now = nxt
         if seen == mark or not seen[0]:
             break

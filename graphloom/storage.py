@@ -4,27 +4,33 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, a temporary folder serves
+    if driver and executors are one process, as in tests; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/graphloom-{os.urandom(8).hex()}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here and a lost
-    executor loses nothing. Shuffle files that only the lineage needed are released."""
+def materialize(df: DataFrame, release: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends here and a lost executor loses
+    nothing. release: also let Spark remove the shuffle files that only the lineage needed, which it does
+    when the frames are collected as garbage; worth it where much was shuffled."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if release:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
