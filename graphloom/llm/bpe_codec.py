@@ -5,7 +5,8 @@ cross: in front of a single space between two characters that are no white space
 works on raw bytes, so ids that end inside a character are no special case.
 
 Defined results: null text is the empty text; rows stay apart even if repeated; ids of an empty
-text are the empty list; nothing is cut off from very long texts.
+text are the empty list; nothing is cut off from very long texts; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_written, materialize, small_batches
+from graphloom.llm.common import drop_written, keyed, materialize, rejoin, small_batches
 from graphloom.llm.suffix_dedup import _BYTE, mix
 from graphloom.operators.connected import connected_components
 
@@ -231,7 +231,7 @@ def _verify(groups: DataFrame, keys: list[str], size: int, num: int, den: int) -
     return groups.groupBy(*keys).applyInPandas(run, "v long, w long")
 
 
-def _scan(keyed: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _scan(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Each row's set: n, u, and its prefix in the order of names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,10 +240,10 @@ def _scan(keyed: DataFrame, size: int, num: int, den: int) -> DataFrame:
             out = {"doc_id": b["doc_id"].astype("Int64"), "id": b["id"], "h": b["h"], "n": np.array([len(s) for s in sets], dtype="int64"), "u": np.array([set_name(s) for s in sets], dtype="int64")}
             yield pd.DataFrame(out | {"prefix": [s[: prefix_length(len(s), num, den)] if len(s) else s for s in sets]})
 
-    return keyed.mapInPandas(run, "doc_id long, id long, h long, n long, u long, prefix array<long>")
+    return docs.mapInPandas(run, "doc_id long, id long, h long, n long, u long, prefix array<long>")
 
 
-def _prefixes(keyed: DataFrame, size: int, num: int, den: int, last: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, size: int, num: int, den: int, last: np.ndarray) -> DataFrame:
     """token, u: prefixes in the order that puts the shingles of `last` at the end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,7 +263,7 @@ def _prefixes(keyed: DataFrame, size: int, num: int, den: int, last: np.ndarray)
             token = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.int64)
             yield pd.DataFrame({"token": token, "u": np.repeat(np.array(us, dtype=np.int64), ns)})
 
-    return keyed.mapInPandas(run, "token long, u long")
+    return docs.mapInPandas(run, "token long, u long")
 
 
 def _verify_pairs(pairs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -285,16 +285,16 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     """doc_id, n_shingles, component_id of every row, and id, h (the row's identity), label (of the
     component, null without shingles). Sets link when den * overlap >= num * union."""
     spark = docs.sparkSession
-    small_batches(spark, 512)
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"))
-    scanned = materialize(_scan(keyed, size, num, den))
+    small_batches(spark)
+    texts = keyed(docs).drop("row")
+    scanned = materialize(_scan(texts, size, num, den))
     rows = scanned.drop("prefix")
     sets = rows.filter("n > 0").groupBy("u").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("id", "h")).alias("row"))
     sets = materialize(sets.select("u", "n", "least", "row.*"))
 
     counts = scanned.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE)
     last = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("c"), "token").limit(HEAVY).select("token").collect()], dtype=np.int64))
-    entries = materialize(_prefixes(keyed, size, num, den, last))
+    entries = materialize(_prefixes(texts, size, num, den, last))
     # Written, so that both sides of the join come from a plain shuffle, which Spark can split at a hot shingle.
     shared = materialize(entries.groupBy("token").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("token"))
     entries2 = materialize(entries.join(shared, "token", "left_semi").distinct().join(sets.select("u", "n"), "u"))
@@ -307,15 +307,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     leaders = large.groupBy("token", "band").agg(F.min("u").alias("w"))
     near = leaders.unionByName(leaders.withColumn("band", F.col("band") - 1))
     star = large.join(near, ["token", "band"]).select(F.col("u").alias("v"), "w").filter("v <> w")
-    small_batches(spark, 4096)
     pairs = materialize(_candidates(small, num, den))
     coarse = materialize(connected_components(star.distinct()).withColumnRenamed("node", "u"))
     drop_written(entries2)
 
     # The texts and signatures of nodes that have any candidate.
     used = pairs.select(F.col("v").alias("u")).unionByName(pairs.select(F.col("w").alias("u"))).unionByName(coarse.select("u")).distinct().join(sets.select("u", "id", "h"), "u")
-    small_batches(spark, 512)
-    nodes = materialize(keyed.select("id", "h", "text").join(used, ["id", "h"]).dropDuplicates(["u"]).select("u", "text"))
+    nodes = materialize(texts.select("id", "h", "text").join(used, ["id", "h"]).dropDuplicates(["u"]).select("u", "text"))
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -371,5 +369,4 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     found = jaccard_components(docs, size, num, den)
     first = found.filter("label is not null").groupBy("label").agg(F.min(F.struct("id", "h")).alias("row")).select("row.*")
     single = materialize(first.unionByName(found.filter("label is null").select("id", "h").distinct()))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_h": F.xxhash64("text")})
-    return keyed.join(single.withColumnsRenamed({"id": "_id", "h": "_h"}), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*names)
+    return rejoin(keyed(docs).join(single, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]), names)

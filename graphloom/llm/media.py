@@ -10,7 +10,8 @@ batches. Every member is read on its own, by offset, checked against its CRC, an
 A document's payload is stored as an 8-bit greyscale PNG image of rows of 576 samples.
 
 Defined results: null text is the empty text (one row of padding); repeated rows are members of
-their own; equal texts give equal values; an empty table gives no members.
+their own; equal texts give equal values; very long texts are one member each; an empty table gives no
+members; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,9 +21,13 @@ to be sorted, less than 2 % of the positions of ordinary text:
 Each step keeps one example of every distinct pair of ranks, so large groups of copies shrink to
 one row, and no step makes pairs within a group.
 
-Ranks are 64-bit mixes of bytes, used in pairs. Defined results: null text is the empty text;
-repeated rows count as occurrences of each other; overlapping occurrences count; texts under
-`min_bytes` keep every byte; a null doc_id stays null; an empty table gives no rows.
+Ranks are 64-bit mixes of bytes, and every decision takes two of them, 128 bits; bytes that were made to
+collide with these public constants are not guarded against.
+
+Defined results: null text is the empty text; repeated rows count as occurrences of each other;
+overlapping occurrences count; texts under `min_bytes` keep every byte; very long texts are ranked in
+overlapping segments, whole; a null doc_id stays null; an empty table gives no rows; other columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_written, materialize, small_batches
+from graphloom.llm.common import drop_written, keyed, materialize, rejoin, small_batches
 
 #: Bytes that are ranked at once; longer texts are ranked in overlapping segments.
 CHUNK = 1 << 19
@@ -130,30 +134,29 @@ def _unpack(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lo, lo + (where >> 10 & 1023), lo + (where & 1023)
 
 
-def _anchors(keyed: DataFrame, t: int, gram: int) -> DataFrame:
+def _anchors(docs: DataFrame, t: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             text, g, block, lo, hi, a = anchor_blocks([(x or "").encode() for x in b["text"]], t, gram)
             yield pd.DataFrame({"id": b["id"].to_numpy()[text], "h": b["h"].to_numpy()[text], "gram": g, "block": block, "at": _pack(lo, hi, a)})
 
-    return keyed.mapInPandas(run, "id long, h long, gram long, block long, at long")
+    return docs.mapInPandas(run, "id long, h long, gram long, block long, at long")
 
 
-def _several(rows: DataFrame, rank: str) -> DataFrame:
+def _several(rows: DataFrame, *ranks: str) -> DataFrame:
     """Ranks that occur more than once. Written, so that in a join on a hot rank both sides come from a plain shuffle, which Spark can split."""
-    return materialize(rows.groupBy(rank).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(rank))
+    return materialize(rows.groupBy(*ranks).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*ranks))
 
 
-def _rerank(rows: DataFrame, outer: str, inner: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs of ranks that occur again, and one example row of each pair that stays open: the
-    pairs whose outer rank occurs with other inner ranks too."""
-    pairs = rows.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "at")).alias("row"))
-    pairs = materialize(pairs)
-    several = pairs.groupBy(outer).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(outer)
-    return pairs.filter("n > 1").select(outer, inner), pairs.join(several, outer, "left_semi").select(outer, "row.*")
+def _rerank(rows: DataFrame, outer: str, inner: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pairs of ranks that occur again; one example row of each pair that stays open: the pairs whose
+    outer rank occurs with other inner ranks too; and the tables that both read."""
+    pairs = materialize(rows.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "at")).alias("row")))
+    several = _several(pairs, outer)
+    return pairs.filter("n > 1").select(outer, inner), pairs.join(several, outer, "left_semi").select(outer, "row.*"), [pairs, several]
 
 
-def _cut_blocks(keyed: DataFrame, open_: DataFrame, t: int) -> DataFrame:
+def _cut_blocks(docs: DataFrame, open_: DataFrame, t: int) -> DataFrame:
     """The bytes of open blocks. One join brings the texts to them."""
     lists = open_.groupBy("id", "h").agg(F.collect_list(F.struct("gram", "at")).alias("blocks"))
 
@@ -166,7 +169,7 @@ def _cut_blocks(keyed: DataFrame, open_: DataFrame, t: int) -> DataFrame:
                 rows += [(id_, h, g, at, data[x : y + t]) for g, at, x, y in zip(grams, ats, lo, hi)]
             yield pd.DataFrame(rows, columns=["id", "h", "gram", "at", "bytes"])
 
-    return keyed.join(lists, ["id", "h"]).select("id", "h", "text", F.col("blocks.gram").alias("grams"), F.col("blocks.at").alias("ats")).mapInPandas(run, "id long, h long, gram long, at long, bytes binary")
+    return docs.join(lists, ["id", "h"]).select("id", "h", "text", F.col("blocks.gram").alias("grams"), F.col("blocks.at").alias("ats")).mapInPandas(run, "id long, h long, gram long, at long, bytes binary")
 
 
 def _steps(blocks: DataFrame, t: int, step: int) -> DataFrame:
@@ -199,8 +202,8 @@ def _steps(blocks: DataFrame, t: int, step: int) -> DataFrame:
 
 
 def _windows(open_: DataFrame, blocks: DataFrame, t: int, step: int) -> DataFrame:
-    """Every window of the pieces that are still open, with its rank."""
-    pieces = open_.select("id", "h", F.shiftright("at", 10).alias("at"), F.col("at").bitwiseAND(1023).alias("j"))
+    """Every window of the pieces that are still open, with its rank. Equal windows have one core rank, as their anchors have one offset."""
+    pieces = open_.select("core", "id", "h", F.shiftright("at", 10).alias("at"), F.col("at").bitwiseAND(1023).alias("j"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -213,29 +216,30 @@ def _windows(open_: DataFrame, blocks: DataFrame, t: int, step: int) -> DataFram
             n = end - begin + 1
             row = np.repeat(np.arange(len(n)), n)
             p = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[row], "h": b["h"].to_numpy()[row], "p": p, "w": window[base[row] + p - lo[row]].view(np.int64)})
+            yield pd.DataFrame({"id": b["id"].to_numpy()[row], "h": b["h"].to_numpy()[row], "core": b["core"].to_numpy()[row], "p": p, "w": window[base[row] + p - lo[row]].view(np.int64)})
 
-    return pieces.join(blocks, ["id", "h", "at"]).select("id", "h", "at", "j", "bytes").mapInPandas(run, "id long, h long, p long, w long")
+    return pieces.join(blocks, ["id", "h", "at"]).select("id", "h", "core", "at", "j", "bytes").mapInPandas(run, "id long, h long, core long, p long, w long")
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step: int = 16) -> DataFrame:
-    """The documents with id and h (their identity) and spans: [start, end) of repeated bytes, unmerged."""
+    """keyed() documents with spans: [start, end) of repeated bytes, unmerged, or null."""
     t = min_bytes
     if not (0 < gram <= t - step + 1 and t <= 1000 and gram == _power(gram)):
         raise ValueError("gram has to be a power of two of at most min_bytes - step + 1, min_bytes at most 1000")
     small_batches(docs.sparkSession)
-    keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
-    slim = keyed.select("id", "h", "text")
+    rows = keyed(docs)
+    slim = rows.select("id", "h", "text")
     anchors = materialize(_anchors(slim.filter(F.octet_length("text") >= t), t, gram))
     again = _several(anchors, "gram")
     shared = materialize(anchors.join(again, "gram", "left_semi"))
     drop_written(anchors, again)
-    equal, open_ = _rerank(shared, "gram", "block")
+    equal, open_, old = _rerank(shared, "gram", "block")
     blocks = materialize(_cut_blocks(slim, open_, t))
     pieces = materialize(_steps(blocks, t, step))
-    equal_pieces, open_pieces = _rerank(pieces, "core", "full")
+    equal_pieces, open_pieces, old_pieces = _rerank(pieces, "core", "full")
     windows = materialize(_windows(open_pieces, blocks, t, step))
-    repeated = windows.join(_several(windows, "w"), "w", "left_semi")
+    same = _several(windows, "core", "w")
+    repeated = windows.join(same, ["core", "w"], "left_semi")
 
     lo, first = F.shiftright("at", 20), F.shiftright("at", 10)
     width = F.shiftright("at", 10).bitwiseAND(1023)
@@ -246,9 +250,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     whole_pieces = piece_of.select("id", "h", F.greatest(last - step + 1, lo).alias("s"), (F.least(last, lo + width) + t).alias("e"))
     single = repeated.select("id", "h", F.col("p").alias("s"), (F.col("p") + t).alias("e"))
     spans = whole_blocks.unionByName(whole_pieces).unionByName(single)
-    spans = materialize(spans.groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    drop_written(shared, blocks, pieces, windows)
-    return keyed.join(spans, ["id", "h"], "left")
+    # A set, so that a row repeated any number of times has the spans of one.
+    spans = materialize(spans.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    drop_written(shared, blocks, pieces, windows, same, *old, *old_pieces)
+    return rows.join(spans, ["id", "h"], "left")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -293,4 +298,4 @@ def without_repeats(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
     def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else kept_bytes((t or "").encode(), s, e)[0].decode(errors="ignore") for t, s, e in zip(text, starts, ends)])
 
-    return found.withColumn("text", cut("text", F.col("spans.s"), F.col("spans.e"))).select(*names)
+    return rejoin(found, names, cut("text", F.col("spans.s"), F.col("spans.e")))
