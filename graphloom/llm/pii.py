@@ -5,7 +5,9 @@ corpus (Sanchez, Batet, Viejo 2013): a term t discloses the value e in proportio
 
     PMI(t; e) / IC(e) = log(N * p(t | e) / n(t)) / log(N / n(e)),
 
-counted over all documents. From `generalise` on, a term beside e is replaced by its class; from
+counted over all documents. Protected are the values themselves and the class that a value belongs
+to: the domain of an address, the network of an IP number, the issuer of a card, the area of a phone
+number (PARTS), as who gives a class away narrows the value down. From `generalise` on, a term beside e is replaced by its class; from
 `remove` on it is taken out. All values and pairs are scored. p(t | e) is not n(t, e) / n(e) but the
 lower end of its Wilson interval over the different texts that have e (CONFIDENCE), so that one
 or two texts weigh what they can prove, and exact copies of a text prove no more than the text.
@@ -16,8 +18,13 @@ place is the length of what comes before; the marks are private characters that
 of the text first. The patterns are those of the contract, written so that no run of characters
 is scanned twice: possessive, and starting where a run starts or the last match ended.
 
-Defined results: null text is the empty text; rows that are equal give equal results; an empty
-table gives no rows; extra columns are ignored.
+Every word of at least `shortest` letters or digits is a term (three by default, as shorter ones
+are function words in most languages; 1 takes all). Of one text, values and classes that other texts have
+too meet all of its words, so a text with v of them and w words makes v * w rows, all of one text.
+
+Defined results: null text is the empty text; rows that are equal give equal results; spans that
+begin at one place are listed by kind; very long texts are read whole; an empty table gives no rows;
+other columns are ignored by find_pii(), and kept as they are by sanitise(), whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_written, materialize
+from graphloom.llm.common import drop_written, keyed, materialize, rejoin
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns.
@@ -35,6 +42,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What of a value is its class.
+PARTS = {"email": "@.*$", "ip": r"^[0-9]+\.[0-9]+\.[0-9]+\.", "card": "^[0-9]([ -]?[0-9]){5}", "phone": r"^\+[\x20().-]*[0-9]([\x20().-]*[0-9]){3}"}
 HINTS = {"email": "@", "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
@@ -106,21 +115,28 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
+def _terms(text: Column, shortest: int) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= max(1, shortest)))
+
+
+def _protected(span: Column) -> Column:
+    """A span's value and its class, named apart."""
+    part = F.lit("")
+    for kind, pattern in PARTS.items():
+        part = F.when(span["kind"] == kind, F.regexp_extract(span["value"], pattern, 0)).otherwise(part)
+    return F.transform(F.array(F.concat(F.lit("="), span["value"]), F.concat(F.lit("~"), span["kind"], part)), lambda v: F.lower(v))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
+def base_spans(docs: DataFrame, shortest: int = 3) -> DataFrame:
     """doc_id, id, h (the row's identity), spans; text and terms of rows with spans, else null."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"), text.alias("text"))
+    rows = keyed(docs).select("doc_id", "id", "h", F.coalesce("text", F.lit("")).alias("text"))
     spans = F.array_sort(F.concat(*(_found(F.col("text"), k) for k in KINDS)))
     rows = rows.withColumn("spans", spans)
     masked = F.col("text")
     for k in KINDS:
         masked = F.regexp_replace(masked, PATTERNS[k], " ")
     some = F.size("spans") > 0
-    return rows.select("doc_id", "id", "h", "spans", F.when(some, F.col("text")).alias("text"), F.when(some, _terms(masked)).alias("terms"))
+    return rows.select("doc_id", "id", "h", "spans", F.when(some, F.col("text")).alias("text"), F.when(some, _terms(masked, shortest)).alias("terms"))
 
 
 def _lower(k: Column, m: Column) -> Column:
@@ -129,10 +145,10 @@ def _lower(k: Column, m: Column) -> Column:
     return (k + zz / 2 - CONFIDENCE * F.sqrt(k * (m - k) / m + zz / 4)) / (m + zz)
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float) -> DataFrame:
+def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float, shortest: int = 3) -> DataFrame:
     """id, h, disclosed: for each row the terms that disclose one of its values, with the ratio."""
     some = base.filter("terms is not null")
-    values = materialize(some.select("id", "h", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("value")))
+    values = materialize(some.select("id", "h", F.explode(F.array_distinct(F.flatten(F.transform("spans", _protected)))).alias("value")))
     per_value = values.groupBy("value", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.sum("n").alias("n_value"), F.count(F.lit(1)).alias("texts"))
     # All values that only one text has score alike there, so "" stands for them.
     scored = F.when(F.col("texts") == 1, F.lit("")).otherwise(F.col("value")).alias("value")
@@ -142,7 +158,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float) -> Dat
     once, more = pairs.filter("texts = 1"), pairs.filter("texts > 1")
     joint = more.select("value", "term", "h", "n_value", "texts").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("k"), F.first("n_value").alias("n_value"), F.first("texts").alias("texts"))
     wanted = materialize(pairs.select("term").distinct())
-    words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+    words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")), shortest)).alias("term"))
     # Counted before the join: each task sends a term once, and the join sees no repeated terms (a semi join would be pushed below the count).
     n_term = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_small(wanted), "term"))
     n = docs.count()
@@ -157,11 +173,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float) -> Dat
     return found
 
 
-def find_pii(docs: DataFrame, generalise: float = 0.75) -> DataFrame:
+def find_pii(docs: DataFrame, generalise: float = 0.75, shortest: int = 3) -> DataFrame:
     """doc_id, id, h, base (spans of the patterns), spans (with those of disclosing terms), disclosed."""
     docs = docs.select("doc_id", "text")
-    base = materialize(base_spans(docs))
-    disclosed = disclosing_terms(docs, base, generalise)
+    base = materialize(base_spans(docs, shortest))
+    disclosed = disclosing_terms(docs, base, generalise, shortest)
     # Some rows with spans get a pattern of their own terms: whole words, whatever their case.
     pattern = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.array_join(F.transform("disclosed", lambda d: d["term"]), "|"), F.lit(f")(?!{WORD})"))
     terms = base.filter("terms is not null").join(disclosed, ["id", "h"]).dropDuplicates(["id", "h"])
@@ -177,13 +193,12 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), _count(F.col("spans"), "term").alias("n_term"))
 
 
-def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9, shortest: int = 3) -> DataFrame:
     """docs with the text sanitised: base spans become their kind in brackets, terms their class or nothing."""
     names = docs.columns
-    found = find_pii(docs, generalise).filter(F.size("spans") > 0).select("id", "h", "spans", "disclosed").dropDuplicates(["id", "h"])
-    found = found.withColumnsRenamed({"id": "_id", "h": "_h", "spans": "_spans", "disclosed": "_disclosed"})
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_h": F.xxhash64("text")}).join(found, ["_id", "_h"], "left")
-    strong = F.transform(F.filter("_disclosed", lambda d: d["ratio"] >= remove), lambda d: d["term"])
+    found = find_pii(docs, generalise, shortest).filter(F.size("spans") > 0).select("id", "h", "spans", "disclosed").dropDuplicates(["id", "h"])
+    rows = keyed(docs).join(found, ["id", "h"], "left")
+    strong = F.transform(F.filter("disclosed", lambda d: d["ratio"] >= remove), lambda d: d["term"])
     said = lambda s: (
         F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         .when(F.array_contains(strong, F.lower(s["value"])), F.lit(""))
@@ -197,5 +212,5 @@ def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9) ->
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), said(s))).otherwise(acc["out"]).alias("out"),
     )
-    new = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.col("_spans").isNotNull(), new).otherwise(F.col("text"))).select(*names)
+    new = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return rejoin(rows, names, F.when(F.col("spans").isNotNull(), new).otherwise(F.col("text")))
