@@ -7,12 +7,15 @@ score, scores what it meets, and stops when the threshold (the score of an imagi
 of the list positions reached) cannot beat its k-th result. Each group returns k rows a query;
 a ranked window with a partial limit merges them.
 
-Components become floor(scale * x), so scores are exact integers below 2^53.
+Components become floor(scale * x), so scores are exact integers: in floating point where no score of a
+group can reach 2^53, else as Python integers. One that a long cannot hold is an error.
+
+In many dimensions the bound hardly ever beats the k-th score before every row is met (README).
 
 Defined results: vectors that are null or hold nulls or non-finite components, and rows
 without an id, take no part; vectors are only compared with vectors of their length; rows with
 the query's id are its own; equal rows (id and vector) count once; ties go to the smaller id; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ SCHEMA = "query_id long, vec_id long, score long"
 def threshold_search(q: np.ndarray, vectors: np.ndarray, order: np.ndarray, ids: np.ndarray, own: int, k: int, step: int = 32) -> list[tuple[int, int]]:
     """The k best (score, id) of one query. order: row numbers by rising component, a column for each dimension; ids must rise with the row number."""
     up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-    n, weights = len(ids), q.astype(np.float64)
+    n, weights = len(ids), q.astype(vectors.dtype)
     open_ = np.ones(n, dtype=bool)
     open_[np.searchsorted(ids, own) : np.searchsorted(ids, own, side="right")] = False
-    score = np.full(n, -np.inf)
+    score = np.full(n, -np.inf, dtype=vectors.dtype)
     best, at = np.empty(0, dtype=np.int64), 0
     while open_.any():
         end = min(at + step, n)
@@ -60,30 +63,36 @@ def _search(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd
     out: list[tuple] = []
     if len(queries) and len(rows):
         rows = rows.sort_values("vec_id", kind="stable")
-        vectors = np.array(rows["v"].tolist(), dtype=np.float64)
+        numbers = [np.array(x["v"].tolist(), dtype=np.int64) for x in (queries, rows)]
+        # Of -2^63 the absolute value is no long.
+        largest = [max(int(x.max()), -int(x.min())) for x in numbers]
+        vectors = numbers[1].astype(np.float64 if largest[0] * largest[1] * numbers[1].shape[1] < 1 << 53 else object)
         ids = rows["vec_id"].to_numpy()
         keep = np.ones(len(ids), dtype=bool)
         seen: set = set()
         for i in np.flatnonzero(np.r_[False, ids[1:] == ids[:-1]]):
-            seen |= {(ids[i - 1], vectors[i - 1].tobytes())}
-            keep[i] = (one := (ids[i], vectors[i].tobytes())) not in seen
+            seen |= {(ids[i - 1], numbers[1][i - 1].tobytes())}
+            keep[i] = (one := (ids[i], numbers[1][i].tobytes())) not in seen
             seen.add(one)
         vectors, ids = vectors[keep], ids[keep]
         order = np.argsort(vectors, axis=0, kind="stable")
         done: set = set()
-        for query_id, v in zip(queries["query_id"], queries["v"]):
-            q = np.array(v, dtype=np.int64)
+        for query_id, q in zip(queries["query_id"], numbers[0]):
             if (one := (query_id, q.tobytes())) not in done:
                 done.add(one)
-                out += [(query_id, vec_id, score) for score, vec_id in threshold_search(q, vectors, order, ids, query_id, k)]
+                found = threshold_search(q, vectors, order, ids, query_id, k)
+                if any(abs(score) >= 1 << 63 for score, _ in found):
+                    raise OverflowError(f"a score of query {query_id} is no long")
+                out += [(query_id, vec_id, score) for score, vec_id in found]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of every query."""
     usable = F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    whole = lambda x: F.when(F.abs(x) < 2.0**63, F.floor(x)).otherwise(F.raise_error(F.lit("a component is no long")).cast("long"))
     rows = vectors.filter(usable & (F.size("embedding") > 0)).select(
-        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.size("embedding").alias("dim"), is_query.alias("is_query")
+        "vec_id", F.transform("embedding", lambda x: whole(x.cast("double") * scale)).alias("v"), F.size("embedding").alias("dim"), is_query.alias("is_query")
     )
     n, n_queries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0))).first()
     block_rows = block_rows or max(512, min(8192, n // 24))
