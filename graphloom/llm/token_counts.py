@@ -11,10 +11,13 @@ A character that no piece covers costs one byte piece for each of its UTF-8 byte
 scores the one of fewer pieces counts. Words are separated by white space as str.split() does
 and begin with the file's word mark.
 
-Each task builds its own trie (at most MAX_NODES nodes, then it starts anew, which changes no
-count), so nothing is shuffled.
+Each task builds its own trie, so nothing is shuffled. Once it has MAX_NODES nodes it starts anew, and
+words of more than LONG_WORD characters, which hardly share a prefix, are scored beside it with the
+same recurrence over the last few characters; neither changes a count, and both bound memory.
 
-Defined results: null or blank text has no words and 0 tokens; repeated rows count each.
+Defined results: null or blank text has no words and 0 tokens; repeated rows count each; very long
+texts and words count whole; an empty table gives no rows; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from graphloom.llm.common import small_batches
 
 MARK = "▁"
 MAX_NODES = 1_200_000
+LONG_WORD = 1024
 
 
 @functools.lru_cache(maxsize=2)
@@ -61,6 +65,8 @@ class PrefixTrie:
         self.terminal: dict[str, int] = {}
 
     def count(self, word: str) -> int:
+        if len(word) > LONG_WORD:
+            return self._alone(MARK + word)
         got = self.terminal.get(word)
         if got is None:
             node = self._insert(MARK + word)
@@ -95,6 +101,28 @@ class PrefixTrie:
         return node
 
 
+    def _alone(self, word: str) -> int:
+        """Pieces of a word by the last forward scores only: no piece is longer than the longest one."""
+        tails, keep = self.tails, max(map(len, self.tails))
+        score, pieces = [0.0], [0]  # of the prefixes that end at the last `keep` places
+        for end, char in enumerate(word, 1):
+            n_bytes = len(char.encode())
+            best, count = score[-1] + n_bytes * self.byte_score, pieces[-1] + n_bytes
+            for back in range(1, min(end, keep) + 1):
+                piece = tails.get(word[end - back : end], 1.0)
+                if piece == 1.0:
+                    break
+                if piece is not None:
+                    total = score[-back] + piece
+                    if total > best or total == best and pieces[-back] + 1 < count:
+                        best, count = total, pieces[-back] + 1
+            score.append(best)
+            pieces.append(count)
+            if len(score) > 4 * keep:
+                del score[:-keep], pieces[:-keep]
+        return pieces[-1]
+
+
 def count_tokens(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens of every whole text."""
     small_batches(docs.sparkSession)
