@@ -235,6 +235,53 @@ def test_packing(docs, pairs):
     assert padding < 0.05 * sum(want.values())
 
 
+def test_packing_limits():
+    """No sequence is over any of the three limits, the last ones included, and every id is in one piece."""
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        tokens = int(rng.choice([16, 64, 2048]))
+        limits = (tokens, int(rng.choice([1, 3, 16, 300])), int(rng.choice([1, 5, tokens // 2, tokens])))
+        packer = packing.VectorPacker(0, *limits, pool=int(rng.choice([4, 32, 1024])))
+        docs = []
+        for d in range(int(rng.integers(0, 40))):
+            n = int(rng.integers(1, 3 * tokens))
+            loss = (rng.random(n) < rng.choice([0, 0.3, 1])).astype(np.int64) if rng.random() < 0.5 else np.repeat([0, 1], [n // 2, n - n // 2])
+            docs.append((rng.integers(0, 50_000, n).astype("<u4"), loss))
+            packer.add(d, *docs[-1])
+        packer.finish()
+        used, cover = collections.defaultdict(list), collections.defaultdict(list)
+        for d, at, n, crc, total, sequence, offset, loss in packer.take():
+            assert n > 0 and loss == docs[d][1][at : at + n].sum() and total == len(docs[d][0]) and crc == zlib.crc32(docs[d][0][at : at + n].tobytes())
+            used[sequence].append((offset, n, 1, loss))
+            cover[d].append((at, n))
+        for parts in used.values():
+            parts.sort()
+            assert [p[0] for p in parts] == [0, *np.cumsum([p[1] for p in parts])[:-1]]
+            assert all(sum(p[k + 1] for p in parts) <= limits[k] for k in range(3))
+        for d, (ids, _) in enumerate(docs):
+            cover[d].sort()
+            assert [a for a, _ in cover[d]] == [0, *np.cumsum([n for _, n in cover[d]])[:-1]] and sum(n for _, n in cover[d]) == len(ids)
+    for bad in ((0, 1, 1), (1, 0, 1), (1, 1, 0)):
+        with pytest.raises(ValueError):
+            packing.VectorPacker(0, *bad)
+
+
+def test_packing_turns(spark):
+    """Instruction data: only answers bear loss, and a sequence has at most max_loss such ids."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").unionByName(spark.createDataFrame([(None, 0, "assistant", "a b"), (None, 0, None, None)], "conv_id long, turn int, role string, text string"), allowMissingColumns=True)
+    pieces = packing.pack_turns(turns, max_loss=700).toPandas()
+    encode = bpe_codec.json_encoder()
+    want: dict = collections.Counter()
+    for r in turns.collect():
+        n = len(encode(r["text"] or "")) + 1
+        want["ids"] += n
+        want["loss"] += n if r["role"] == "assistant" else 0
+    assert pieces["length"].sum() == want["ids"] and pieces["loss_tokens"].sum() == want["loss"] > 0
+    sums = pieces.groupby("sequence_id").agg(n=("length", "sum"), loss=("loss_tokens", "sum"), parts=("length", "size"))
+    assert sums["n"].max() <= 2048 and sums["loss"].max() <= 700 and sums["parts"].max() <= 64
+    assert packing.pack_turns(turns.limit(0)).count() == 0
+
+
 def test_bpe_codec(docs, pairs):
     e = bpe_codec.rank_encoding()
     expected = []
@@ -279,6 +326,17 @@ def test_token_counts(docs, pairs):
     assert [small.count(w) for w in known] == list(known.values())
 
 
+def test_long_words(spark):
+    """Words that no trie should hold have the counts that the trie would give."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdetionsheé😀ß12") for _ in range(rng.randint(1, 80))) for _ in range(500)]
+    trie = token_counts.PrefixTrie()
+    assert [trie._alone(token_counts.MARK + w) for w in words] == [trie.count(w) for w in words]
+    df = spark.createDataFrame([(1, "ab" * 100_000 + " x"), (2, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df).collect()}
+    assert got[1] == trie._alone(token_counts.MARK + "ab" * 100_000) + got[2]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     v = (rng.integers(-3, 4, (300, 3)) / 1024).tolist()
@@ -293,6 +351,16 @@ def test_top_k(spark):
         same(topk.top_k(df, F.col("vec_id") % 100 == 0, block_rows=block).collect(), expected)
 
 
+def test_top_k_large_components(spark):
+    """Scores are exact beyond 2^53; one that no long holds is an error."""
+    df = spark.createDataFrame([(0, [1e6, 3.0]), (1, [1e6, 5.0]), (2, [-1e6, 7.0])], "vec_id long, embedding array<double>")
+    one = int(1e6 * 1024)
+    same([(r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).collect()], [(1, one * one + 3072 * 5120), (2, 3072 * 7168 - one * one)])
+    for big in (1e8, 1e17):
+        with pytest.raises(Exception, match="no long"):
+            topk.top_k(spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def test_media(spark, docs, pairs, tmp_path):
     got = {(r["doc_id"], r["payload_sha256"]): r for r in media.media_features(docs).collect()}
     assert len(got) == len({(i, x) for i, x in pairs})
@@ -374,6 +442,64 @@ def test_html_template_decides(spark):
     assert {r["page_id"]: r["text"] for r in got} == {10 * k + i: f"Head {i}\n{story.format(i)}" for k in range(2) for i in range(7)}
 
 
+def test_html_without_names(spark):
+    """The template alone finds the article: no article element, no list of names. Without it nothing is right."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
+    div = rows.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(div, frozenset()).collect()} == want
+    assert all(html_extract.article_text(r["html"], None, frozenset(), names=frozenset()) != want[r["page_id"]] for r in div.collect())
+
+
+def test_html_brute_deduction(spark):
+    """Classes from explicit occurrence vectors, on random hosts; batches and order change nothing."""
+    rng = random.Random(9)
+    rows, n = [], 0
+    for h in range(20):
+        parts = [f"<div class='{rng.choice('abc')}'><p>{'template text of host ' * rng.randint(1, 3)}{h}</p></div>" for _ in range(rng.randint(0, 3))]
+        for i in range(rng.randint(1, 8)):
+            story = "".join(f"<p>story {h} {i} {rng.random()}</p>" for _ in range(rng.randint(0, 3)))
+            body = [x for x in parts if rng.random() < 0.9] + [f"<div class='m'>{story}</div>"] + ["<section class='n'><p>note</p></section>"] * rng.randint(0, 2)
+            rng.shuffle(body)
+            rows += [(n, f"http://h{h}.example.com/", f"<body>{''.join(body)}</body>")] * rng.choice([1, 1, 1, 2])
+            n += 1
+    tokens: dict = collections.defaultdict(lambda: collections.defaultdict(list))
+    urls = collections.Counter(u for _, u, _ in rows)
+    for at, (_, url, page) in enumerate(rows):
+        blocks, seen = html_extract.content(page)
+        counts = collections.Counter({("e", p): c for p, c in seen.items()}) + collections.Counter(("t", x[0], x[1]) for x in blocks)
+        for k, c in counts.items():
+            chars = sum(len(x[1]) for x in blocks if html_extract.inside(x[0], k[1])) if k[0] == "e" else c * len(k[2])
+            tokens[url if urls[url] > 1 else ""][k].append((at, c, chars))
+    want = {}
+    for host, found in tokens.items():
+        vectors: dict = collections.defaultdict(list)
+        for k, v in found.items():
+            vectors[tuple((at, c) for at, c, _ in v)].append(k)
+        valid = [k for v, ks in vectors.items() if len(ks) >= 2 and len(v) >= 2 for k in ks]
+        if not valid:
+            continue
+        pages = max(len(v) for v in found.values())
+        elements = [(k[1], all(c == 1 for _, c, _ in found[k]) and k[1].split("/")[-1].split(".")[0] in html_extract.SECTION, sum(x for *_, x in found[k])) for k in valid if k[0] == "e" and 2 * len(found[k]) > pages]
+        texts = [(html_extract._name(*k), k[1], sum(x for *_, x in found[k])) for k in valid if k[0] == "t" and len(found[k]) >= max(5, 0.6 * pages)]
+        if elements or texts:
+            slot, names = html_extract.choose_slot(elements, texts)
+            want[host.removeprefix("http://").strip("/")] = (slot, sorted(names))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    several = [u.removeprefix("http://").strip("/") for u, c in urls.items() if c > 1]
+    hosted = df.select("page_id", "html", F.when(host.isin(several), host).otherwise("").alias("host"))
+    texts = sorted(map(tuple, html_extract.extract(df).collect()))
+    for parts in (1, 7):
+        got = {r["host"]: (r["slot"], sorted(r["texts"])) for r in html_extract.deduce_templates(hosted.repartition(parts, "page_id", "html")).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert sorted(map(tuple, html_extract.extract(df.repartition(3)).collect())) == texts
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_html_copies_stay(spark):
     """Equal pages keep their text, as nothing tells template from story."""
     rows = [(i, "http://a.example.com/", "<body><article><h1>Head</h1><p>story</p></article></body>") for i in range(6)]
@@ -393,6 +519,85 @@ def test_language_id(spark):
     assert got[62]["language"] == "fr"
 
 
+def brute_language(rows, full_text=400, temper=3.0):
+    """(text language, language, confidence) of each row by plain counting. rows: text, declared, host."""
+    languages = sorted({d.lower() for t, d, _ in rows if d is not None and t is not None})
+    n = len(languages)
+    table = np.full((language_id.FEATURES, n), 0.1)
+    for t, d, _ in rows:
+        if t is not None and d is not None:
+            np.add.at(table[:, languages.index(d)], language_id.features(t), 1)
+    table = np.log(table / table.sum(axis=0)).astype(np.float32)
+    feats = [language_id.features(t) for t, *_ in rows]
+    means = [table[f].mean(axis=0, dtype=np.float64) if len(f) else np.zeros(n) for f in feats]
+    best = [int(np.argmax(m)) if len(f) else None for m, f in zip(means, feats)]
+    prior, said = np.ones(n), np.full((n, n), 0.5) + np.eye(n)
+    by: dict = collections.defaultdict(lambda: np.zeros(n))
+    part = lambda host: ((host or ""), ".".join((host or "").split(".")[-2:]) if "." in (host or "") else "", (host or "").rpartition(".")[2] if "." in (host or "") else "")
+    for (t, d, host), b in zip(rows, best):
+        if b is not None:
+            prior[b] += 1
+            if d is not None:
+                said[languages.index(d), b] += 1
+            for kind, x in zip("hps", part(host)):
+                by[kind, x][b] += 1
+    prior /= prior.sum()
+    said = np.log(said / said.sum(axis=0))
+    smooth = lambda c, p: (c + language_id.KAPPA * p) / (c.sum() + language_id.KAPPA)
+    for (t, d, host), m, f, b in zip(rows, means, feats, best):
+        h, p, s = part(host)
+        logs = np.log(prior)
+        if ("h", h) in by:
+            up = smooth(by["p", p], prior) if p else prior
+            logs = np.log(smooth(by["h", h], up) if h else prior) + (np.log(smooth(by["s", s], prior)) - np.log(prior) if s else 0)
+        if d is not None:
+            logs = logs + said[languages.index(d)]
+        logs = logs + m * min(len(f), full_text) / temper
+        sure = 1 / np.exp(logs - logs.max()).sum()
+        yield (languages[b], languages[int(np.argmax(logs))] if sure >= 0.5 else "und", sure) if b is not None else ("und", "und", 0.0)
+
+
+def test_language_brute_force(spark):
+    """Fused evidence against plain counting; hosts, suffixes and markup turn short texts the right way."""
+    rng = random.Random(4)
+    source = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r["text"] and r["lang"]][:400]
+    rows = []
+    for i, r in enumerate(source):
+        host = rng.choice([f"www.{r['lang']}{i % 3}.{r['lang']}", f"{r['lang']}.mixed.org", "www.mixed.org", None])
+        words = r["text"].split()
+        text = r["text"] if i % 4 == 0 else rng.choice(words)[-2:]
+        rows.append((text, r["lang"] if rng.random() < 0.5 else None, host, r["lang"]))
+    rows += [(None, "en", "a.b.fr", "en"), ("", None, None, "en"), *rows[:3]]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string, truth string")
+    got = {r["doc_id"]: r for r in language_id.identify(df, sample=1000).collect()}
+    right = collections.Counter()
+    for i, (want, (*_, truth)) in enumerate(zip(brute_language([x[:3] for x in rows]), rows)):
+        assert (got[i]["text_language"], got[i]["language"]) == want[:2] and abs(got[i]["confidence"] - want[2]) < 2e-6
+        right["text"] += want[0] == truth
+        right["fused"] += want[1] == truth
+    assert right["fused"] > right["text"] + 20  # of 405
+    with pytest.raises(ValueError, match="declared"):
+        language_id.identify(df, max_languages=2)
+
+
+CLASHES = ["id", "h", "_id", "_h", "row", "spans", "_spans", "disclosed", "_disclosed", "label", "kept", "block", "base", "u", "n"]
+
+
+def test_clashing_columns(spark, docs):
+    """Columns of any name come back with their values."""
+    import corpus_pipeline
+
+    rows = docs.drop("kept").withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHES})
+    want = {(r["doc_id"], *(r[c] for c in CLASHES)) for r in rows.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, "")
+        assert got.columns == rows.columns
+        assert {(r["doc_id"], *(r[c] for c in CLASHES)) for r in got.collect()} <= want, name
+    plain = docs.select("doc_id", "text", "lang", "source")
+    for f in (suffix_dedup.remove_repeats, language_id.identify, packing.pack_documents, bpe_codec.round_trip, token_counts.count_tokens):
+        same(f(rows).collect(), f(plain).collect())
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter(F.lit(False))
     assert suffix_dedup.remove_repeats(none).count() == 0
@@ -401,6 +606,8 @@ def test_empty_tables(spark, docs):
     assert language_id.identify(none).count() == 0
     assert packing.pack_documents(none).count() == 0
     assert media.media_features(none).count() == 0
+    assert bpe_codec.round_trip(none).count() == 0
+    assert token_counts.count_tokens(none).count() == 0
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -415,5 +622,7 @@ def test_pipeline(spark, docs, tmp_path):
         if name != "packing":
             assert nxt.columns == now.columns and 0 < nxt.count() <= now.count()
         now = nxt
+    docs.drop("kept").filter(F.lit(False)).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
     run = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert run.select("doc_id", "length").groupBy().sum("length").first() == now.groupBy().sum("length").first()
