@@ -7,8 +7,9 @@ of its endpoints. An absent property is null. Graphs are immutable: writes give
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,14 @@ class GraphError(Exception):
 
 @dataclass(frozen=True)
 class NodeTable:
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]  # a function is called when the table is first used
     labels: tuple[str, ...]  # that every row has
     optional: tuple[str, ...] = ()  # that some rows have, as their `labels` say
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
+
     @property
     def props(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("id", "labels")]
@@ -35,11 +40,15 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class EdgeTable:
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     type: str
     src_label: str | None = None
     dst_label: str | None = None
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
+
     @property
     def props(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("id", "src", "dst")]

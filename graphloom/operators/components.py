@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from graphloom.model import PropertyGraph
+from graphloom.model import GraphError, PropertyGraph
 from graphloom.operators.common import algo_edges, dense_index
 from graphloom.operators.connected import connected_components
-from graphloom.storage import materialize
+from graphloom.storage import materialize, materialize_counted
 
 
 def _numbered(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -24,32 +24,34 @@ def weak_components(graph: PropertyGraph, *types: str, labels: tuple[str, ...] =
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Least label that reaches each node along the edges. labels: node, c."""
+    """Least label that reaches each node along the edges. labels: node, c. Only labels that changed are sent on."""
+    front = labels
     while True:
-        sent = edges.join(labels.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("got"))
-        nxt = materialize(labels.join(sent, "node", "left").select("node", F.least("c", F.coalesce("got", "c")).alias("c"), (F.col("got") < F.col("c")).alias("moved")))
-        if nxt.filter("moved").isEmpty():
+        sent = edges.join(front.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("got"))
+        seen = Observation()
+        nxt = labels.join(sent, "node", "left").select("node", F.least("c", F.coalesce("got", "c")).alias("c"), F.coalesce(F.col("got") < F.col("c"), F.lit(False)).alias("moved"))
+        nxt = materialize(nxt.observe(seen, F.count_if("moved").alias("n")))
+        if not seen.get["n"]:
             return nxt.drop("moved")
-        labels = nxt.drop("moved")
+        labels, front = nxt.drop("moved"), nxt.filter("moved").drop("moved")
 
 
 def strong_components(graph: PropertyGraph, *types: str, labels: tuple[str, ...] = ()) -> DataFrame:
     """Trimming and forward-backward colouring (Orzan 2004): a colour spreads forward from the least
     node that reaches a place; what reaches its root backward inside the colour is a component."""
     nodes = graph.scan(*labels).select(F.col("id").alias("node"))
-    edges = materialize(algo_edges(graph, *types).filter("src <> dst").select("src", "dst").distinct())
+    edges, n = materialize_counted(algo_edges(graph, *types).filter("src <> dst").select("src", "dst").distinct())
     done = None
-    while True:
+    while n:
         # Nodes without an edge in or out are alone; edges at them go.
         while True:
             both = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
             ends = [both.withColumnRenamed("node", e) for e in ("src", "dst")]
-            kept = materialize(edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
-            same = kept.count() == edges.count()
-            edges = kept
-            if same:
+            edges, kept = materialize_counted(edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
+            if kept == n:
                 break
-        if edges.isEmpty():
+            n = kept
+        if not n:
             break
         live = edges.select(F.col("src").alias("node")).distinct()
         colour = _spread(edges, materialize(live.withColumn("c", F.col("node"))))
@@ -59,16 +61,17 @@ def strong_components(graph: PropertyGraph, *types: str, labels: tuple[str, ...]
         found = materialize(back.filter(F.col("c") < 2**63 - 1).select("node", F.col("c").alias("root")))
         done = found if done is None else done.unionByName(found)
         gone = [found.select(F.col("node").alias(e)) for e in ("src", "dst")]
-        edges = materialize(edges.join(gone[0], "src", "left_anti").join(gone[1], "dst", "left_anti").select("src", "dst"))
+        edges, n = materialize_counted(edges.join(gone[0], "src", "left_anti").join(gone[1], "dst", "left_anti").select("src", "dst"))
     if done is None:
         done = nodes.select("node", F.col("node").alias("root")).limit(0)
     return _numbered(nodes, done)
 
 
-def louvain(graph: PropertyGraph, max_levels: int = 10, *types: str, labels: tuple[str, ...] = (), rounds: int = 12) -> DataFrame:
+def louvain(graph: PropertyGraph, max_levels: int = 10, *types: str, labels: tuple[str, ...] = (), max_rounds: int = 500) -> DataFrame:
     """node, community: Blondel et al. (2008), undirected, weight 1 an edge. Nodes move in parallel, in
-    turns by a coin of node and round so that neighbours do not swap; levels end when modularity does not grow. The
-    partition is as valid as that of moves one by one, but need not be the same."""
+    turns by a coin of node and round so that neighbours do not swap, until nobody wants to move in two
+    turns running (more than max_rounds are an error); levels end when modularity does not grow. The partition
+    is as valid as that of moves one by one, but need not be the same."""
     nodes = graph.scan(*labels).select(F.col("id").alias("node"))
     raw = algo_edges(graph, *types).select("src", "dst")
     now = materialize(raw.unionByName(raw.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
@@ -77,7 +80,7 @@ def louvain(graph: PropertyGraph, max_levels: int = 10, *types: str, labels: tup
     if two_m:
         last = -1.0
         for _ in range(max_levels):
-            part = _move(now, two_m, rounds)
+            part = _move(now, two_m, max_rounds)
             ends = [part.select(F.col("node").alias(e), F.col("c").alias(f"c_{e}")) for e in ("src", "dst")]
             merged = materialize(now.join(ends[0], "src").join(ends[1], "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
             total = merged.groupBy("src").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("own"))
@@ -91,13 +94,13 @@ def louvain(graph: PropertyGraph, max_levels: int = 10, *types: str, labels: tup
     return _numbered(nodes, member.join(least, "c").select("node", "root")).withColumnRenamed("component", "community")
 
 
-def _move(edges: DataFrame, two_m: float, rounds: int) -> DataFrame:
+def _move(edges: DataFrame, two_m: float, max_rounds: int) -> DataFrame:
     """node, c after rounds of local moves."""
     strength = materialize(edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
     part = materialize(strength.select("node", "k", F.col("node").alias("c")))
     near = materialize(edges.filter("src <> dst").select(F.col("src").alias("node"), "dst", "w"))
     quiet = 0
-    for i in range(rounds):
+    for i in range(max_rounds):
         total = part.groupBy("c").agg(F.sum("k").alias("total"))
         links = near.join(part.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst").groupBy("node", "to").agg(F.sum("w").alias("w"))
         own = part.select("node", F.col("c").alias("to"), F.lit(0.0).alias("w"))
@@ -108,9 +111,10 @@ def _move(edges: DataFrame, two_m: float, rounds: int) -> DataFrame:
         best = options.groupBy("node").agg(F.max(F.struct(gain.alias("g"), (-F.col("to")).alias("to"))).alias("best"), stay.alias("stay"))
         turn = F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2
         moves = (F.col("best.g") > F.col("stay") + 1e-12) & turn
-        nxt = materialize(part.join(best, "node", "left").select("node", "k", F.when(moves, -F.col("best.to")).otherwise(F.col("c")).alias("c"), F.coalesce(moves, F.lit(False)).alias("moved")))
-        quiet = quiet + 1 if nxt.filter("moved").isEmpty() else 0
-        part = nxt.drop("moved")
+        nxt = part.join(best, "node", "left").select("node", "k", F.when(moves, -F.col("best.to")).otherwise(F.col("c")).alias("c"), F.coalesce(moves, F.lit(False)).alias("moved"))
+        seen = Observation()
+        part = materialize(nxt.observe(seen, F.count_if("moved").alias("n"))).drop("moved")
+        quiet = 0 if seen.get["n"] else quiet + 1
         if quiet == 2:
-            break
-    return part.select("node", "c")
+            return part.select("node", "c")
+    raise GraphError("RUNTIME_ERROR", f"nodes still move after {max_rounds} rounds")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.storage import drop_written, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
-    """One step, and the minima that it reads. edges: v, w with v != w.
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame, tuple]:
+    """One step, the minima that it reads, and a digest of its edges. edges: v, w with v != w.
 
     Minima are pre-aggregated and written: both sides of the join then come from plain shuffles, so
     Spark can split the edges of a hot centre."""
@@ -20,7 +20,10 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
         out = near.filter(F.col("w") > F.col("v")).select(F.col("w").alias("v"), F.col("m").alias("w"))
     else:
         out = near.select(F.col("w").alias("v"), F.col("m").alias("w")).unionByName(low.select("v", F.col("m").alias("w")))
-    return materialize(out.filter("v <> w").distinct(), release=True), low
+    seen = Observation()
+    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)")).alias("h")]
+    step = materialize(out.filter("v <> w").distinct().observe(seen, *mark), release=True)
+    return step, low, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,9 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(F.col(v).alias("v"), F.col(w).alias("w")).filter("v <> w").distinct())
     mark = None
     for _ in range(max_rounds):
-        half, low = _star(now, large=True)
-        nxt, low2 = _star(half, large=False)
-        seen = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)"))).first()
+        half, low, _ = _star(now, large=True)
+        nxt, low2, seen = _star(half, large=False)
         drop_written(now, half, low, low2)
         now = nxt
         if seen == mark or not seen[0]:

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.model import GraphError, PropertyGraph, union
-from graphloom.operators.common import algo_edges, need_node
+from graphloom.operators.common import algo_edges, dense_index, need_node
 from graphloom.operators.components import strong_components
-from graphloom.storage import materialize
+from graphloom.plans.match import guarded
+from graphloom.storage import drop_written, materialize, materialize_counted
 
 
 def bfs(graph: PropertyGraph, start: int, *types: str, max_depth: int | None = None, direction: str = "out") -> DataFrame:
-    """node, depth: least number of hops; the start is at 0."""
+    """node, depth: least number of hops; the start is at 0. A level is one job: the edges are only
+    joined with the nodes of the last level, and what was seen is not read again but by the anti join."""
     need_node(graph, start)
     edges = algo_edges(graph, *types).select("src", "dst")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     edges = materialize({"out": edges, "in": back, "both": edges.unionByName(back)}[direction].distinct())
-    level = graph.scan().filter(F.col("id") == start).select(F.col("id").alias("node")).withColumn("depth", F.lit(0).cast("long"))
-    seen, depth = level, 0
-    while max_depth is None or depth < max_depth:
+    level = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).cast("long").alias("depth"))
+    seen, depth, n, held = level, 0, 1, []
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
         reached = edges.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        level = materialize(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
+        level, n = materialize_counted(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        if n:
+            held.append(level)
+            seen = seen.unionByName(level)
+        if len(held) == 16:  # one table for the levels so far, so that no plan grows with the depth
+            seen = materialize(seen)
+            drop_written(*held)
+            held = []
+            level = seen.filter(F.col("depth") == depth)
     return seen
 
 
@@ -46,52 +53,68 @@ def shortest_path(graph: PropertyGraph, start: int, goal: int, *types: str, weig
             step = step.filter(F.col("cost") < bound)
         step = step.groupBy("node").agg(F.min(F.struct("cost", "nodes", "edges")).alias("s")).select("node", "s.*")
         old = best.select("node", F.col("cost").alias("old"))
-        frontier = materialize(step.join(old, "node", "left").filter("old is null or cost < old").drop("old"))
-        if frontier.isEmpty():
+        frontier, n = materialize_counted(step.join(old, "node", "left").filter("old is null or cost < old").drop("old"))
+        if not n:
             break
         best = materialize(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
     return best.filter(F.col("node") == goal).select(F.struct("nodes", "edges").alias("path"), "cost")
 
 
-def all_shortest_paths(graph: PropertyGraph, start: int, goal: int, *types: str, most: int = 1000) -> DataFrame:
-    """path, cost of every path of least hops, parallel edges apart; `most` of them, by ids."""
+def all_shortest_paths(graph: PropertyGraph, start: int, goal: int, *types: str, most: int | None = None) -> DataFrame:
+    """path, cost of every path of least hops, parallel edges apart, in the order of ids. More than `most`
+    paths are an error; they are counted, level by level, before any is made."""
     depths = bfs(graph, start, *types)
     need_node(graph, goal)
     end = depths.filter(F.col("node") == goal).first()
     spark = depths.sparkSession
-    paths = spark.createDataFrame([(goal, [goal], [])] if end else [], "node long, nodes array<long>, edges array<long>")
     edges = algo_edges(graph, *types)
-    for d in range(end["depth"] - 1 if end else -1, -1, -1):
+    hops = end["depth"] if end else 0
+    # The edges between levels, from the goal back: only those on a shortest path, with the number of paths that go on.
+    after = spark.createDataFrame([(goal, 1)] if end else [], "node long, ways long")
+    steps = []
+    for d in range(hops - 1, -1, -1):
         before = depths.filter(F.col("depth") == d).select(F.col("node").alias("src"))
-        paths = paths.join(edges.join(before, "src"), F.col("node") == F.col("dst")).select(F.col("src").alias("node"), F.array_prepend("nodes", F.col("src")).alias("nodes"), F.array_prepend("edges", F.col("id")).alias("edges"))
-        paths = materialize(paths)
-    return paths.orderBy("nodes", "edges").limit(most).select(F.struct("nodes", "edges").alias("path"), F.size("edges").cast("double").alias("cost"))
+        step = materialize(edges.join(before, "src").join(after, F.col("dst") == F.col("node")).select("id", "src", "dst", "ways"))
+        steps.append(step)
+        after = step.groupBy(F.col("src").alias("node")).agg(F.sum("ways").alias("ways"))
+    n = after.agg(F.coalesce(F.sum("ways"), F.lit(0))).first()[0]
+    if most is not None and n > most:
+        raise GraphError("ROW_LIMIT", f"{n} paths, more than {most}")
+    paths = spark.createDataFrame([(start, [start], [])] if end else [], "node long, nodes array<long>, edges array<long>")
+    for step in reversed(steps):
+        paths = paths.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("edges", F.col("id")).alias("edges"))
+    return paths.orderBy("nodes", "edges").select(F.struct("nodes", "edges").alias("path"), F.size("edges").cast("double").alias("cost"))
 
 
 def topo_sort(graph: PropertyGraph, *types: str, labels: tuple[str, ...] = ()) -> DataFrame:
-    """node, order: by level, then id. A level's nodes have all edges in from earlier levels."""
-    from graphloom.operators.common import dense_index
-
+    """node, order: by level, then id. A level's nodes have all edges in from earlier levels, so the order is a
+    valid one, though not the one that takes the least ready node at each step: that goes node by node."""
     nodes = graph.scan(*labels).select(F.col("id").alias("node"))
     edges = materialize(algo_edges(graph, *types).select("src", "dst").distinct())
-    left, levels, n = materialize(nodes), [], 0
-    while not left.isEmpty():
-        level = materialize(left.join(edges.select(F.col("dst").alias("node")), "node", "left_anti"))
-        if level.isEmpty():
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    # A round is one job: it writes the nodes that are left, with the edges still open into them.
+    now = nodes.join(into, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"))
+    levels: list[DataFrame] = []
+    while True:
+        seen = Observation()
+        now = materialize(now.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("open") == 0).alias("ready")))
+        if not seen.get["n"]:
+            break
+        if not seen.get["ready"]:
             raise GraphError("VALIDATION", "the graph has a cycle")
-        levels.append(level.withColumn("level", F.lit(n)))
-        gone = level.select(F.col("node").alias("src"))
-        edges = materialize(edges.join(gone, "src", "left_anti"))
-        left = materialize(left.join(level, "node", "left_anti"))
-        n += 1
+        ready = now.filter("open = 0").select("node")
+        levels.append(ready.withColumn("level", F.lit(len(levels))))
+        closed = edges.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("closed"))
+        now = now.filter("open > 0").join(closed, "node", "left").select("node", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open"))
     if not levels:
         return nodes.select("node", F.lit(0).cast("long").alias("order"))
     ranked = union(levels).withColumn("key", F.struct("level", "node"))
     return dense_index(ranked, "key", "order").select("key.node", "order")
 
 
-def cycles(graph: PropertyGraph, *types: str, limit: int = 100) -> DataFrame:
-    """cycle: of each strong component with one, a shortest cycle through its least node; none if and only if the graph has none."""
+def cycles(graph: PropertyGraph, *types: str, limit: int | None = None) -> DataFrame:
+    """cycle: every self-loop, and of each strong component of several nodes a shortest cycle through its
+    least node, in the order of ids; none if and only if the graph has none. More than `limit` are an error."""
     edges = materialize(algo_edges(graph, *types).select("src", "dst").distinct())
     loops = edges.filter("src = dst").select(F.array("src").alias("cycle"))
     part = materialize(strong_components(graph, *types))
@@ -101,12 +124,13 @@ def cycles(graph: PropertyGraph, *types: str, limit: int = 100) -> DataFrame:
     edges = materialize(edges.filter("src <> dst").join(ends[0], "src").join(ends[1], "dst").filter("c_src = c_dst").select("src", "dst"))
     walk = materialize(big.select("root", F.col("root").alias("node"), F.array("root").alias("path")))
     seen, found = walk.select("root", "node"), [loops]
-    while not walk.isEmpty():
-        step = walk.join(edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        step = materialize(step)
+    n = 1
+    while n:
+        step = materialize(walk.join(edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min("path").alias("path")))
         closed = step.filter("root = node").select("root", F.col("path").alias("cycle"))
         found.append(closed.select("cycle"))
         going = step.join(seen, ["root", "node"], "left_anti").join(closed, "root", "left_anti")
-        walk = materialize(going.select("root", "node", F.array_append("path", F.col("node")).alias("path")))
+        walk, n = materialize_counted(going.select("root", "node", F.array_append("path", F.col("node")).alias("path")))
         seen = seen.unionByName(walk.select("root", "node"))
-    return union(found).orderBy("cycle").limit(limit)
+    found = union(found)
+    return (guarded(found, limit) if limit is not None else found).orderBy("cycle")

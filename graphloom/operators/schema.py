@@ -20,14 +20,26 @@ def label_stats(graph: PropertyGraph) -> DataFrame:
 
 
 def property_types(graph: PropertyGraph) -> DataFrame:
-    """label, property, type, n. One pass over each table: counts of all its properties at once."""
+    """label (of nodes) or type (of edges), property, type, n of values that are there. One scan a table:
+    a row becomes the list of properties that it has, and these are counted."""
     parts = []
-    for t in graph.nodes.values():
-        counts = t.df.select(F.explode("labels").alias("label"), *t.props).groupBy("label").agg(F.lit(0).alias("_"), *(F.count(p).alias(p) for p in t.props))
-        for p in t.props:
-            name = F.lit(_type_name(t.df.schema[p]))
-            parts.append(counts.select("label", F.lit(p).alias("property"), name.alias("type"), F.col(p).alias("n")))
-    return union(parts).groupBy("label", "property", "type").agg(F.sum("n").alias("n")).filter("n > 0")
+    for name, t in [*((None, t) for t in graph.nodes.values()), *((t.type, t) for t in graph.edges.values())]:
+        if t.props:
+            have = [F.when(F.col(p).isNotNull(), F.struct(F.lit(p).alias("property"), F.lit(_type_name(t.df.schema[p])).alias("type"))) for p in t.props]
+            label = F.explode("labels") if name is None else F.lit(name)
+            counts = t.df.select(label.alias("label"), F.array_compact(F.array(*have)).alias("p")).select("label", F.explode("p").alias("p")).groupBy("label", "p").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counts.select("label", "p.property", "p.type", "n"))
+    if not parts:
+        return graph.scan().select(*(F.lit("").alias(c) for c in ("label", "property", "type")), F.lit(0).cast("long").alias("n")).filter(F.lit(False))
+    return union(parts).groupBy("label", "property", "type").agg(F.sum("n").alias("n"))
+
+
+def summary(graph: PropertyGraph) -> DataFrame:
+    """kind (label, property or edge), name, detail, n: the whole schema in one sorted table."""
+    labels = label_stats(graph).select(F.lit("label").alias("kind"), F.col("label").alias("name"), F.lit("").alias("detail"), "n")
+    props = property_types(graph).select(F.lit("property").alias("kind"), F.concat_ws(".", "label", "property").alias("name"), F.col("type").alias("detail"), "n")
+    edges = edge_types(graph).select(F.lit("edge").alias("kind"), F.col("type").alias("name"), F.concat_ws(" -> ", "from_label", "to_label").alias("detail"), "n")
+    return union([labels, props, edges]).orderBy("kind", "name", "detail")
 
 
 def edge_types(graph: PropertyGraph) -> DataFrame:

@@ -23,10 +23,10 @@ def _inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def visible(graph: PropertyGraph, hidden_labels: tuple[str, ...] = (), hidden_types: tuple[str, ...] = ()) -> PropertyGraph:
     """Without nodes of hidden labels, edges of hidden types and edges that would dangle."""
     hidden = F.array(*map(F.lit, hidden_labels)).cast("array<string>")
-    nodes = {k: replace(t, df=t.df.filter(~F.arrays_overlap("labels", hidden)) if set(hidden_labels) & {*t.labels, *t.optional} else t.df) for k, t in graph.nodes.items()}
+    nodes = {k: replace(t, source=t.df.filter(~F.arrays_overlap("labels", hidden)) if set(hidden_labels) & {*t.labels, *t.optional} else t.df) for k, t in graph.nodes.items()}
     shown = PropertyGraph(nodes, graph.edges, graph.indexes)
     ids = shown.scan().select("id")
-    edges = {k: replace(t, df=_inside(t.df, ids).select(*t.df.columns)) for k, t in graph.edges.items() if k not in hidden_types}
+    edges = {k: replace(t, source=_inside(t.df, ids).select(*t.df.columns)) for k, t in graph.edges.items() if k not in hidden_types}
     return replace(shown, edges=edges)
 
 
@@ -37,13 +37,13 @@ def merged(first: PropertyGraph, second: PropertyGraph) -> PropertyGraph:
         if a is None or b is None:
             return a or b
         kept = a.df.join(b.df.select("id"), "id", "left_anti")
-        return replace(a, df=b.df.unionByName(kept, allowMissingColumns=True))
+        return replace(a, source=b.df.unionByName(kept, allowMissingColumns=True))
 
     nodes: dict[str, NodeTable] = {k: both(first.nodes.get(k), second.nodes.get(k)) for k in {**first.nodes, **second.nodes}}
     edges: dict[str, EdgeTable] = {k: both(first.edges.get(k), second.edges.get(k)) for k in {**first.edges, **second.edges}}
     out = PropertyGraph(nodes, edges, first.indexes | second.indexes)
     ids = out.scan().select("id")
-    return replace(out, edges={k: replace(t, df=_inside(t.df, ids).select(*t.df.columns)) for k, t in edges.items()})
+    return replace(out, edges={k: replace(t, source=_inside(t.df, ids).select(*t.df.columns)) for k, t in edges.items()})
 
 
 def records(df: DataFrame, *variables: str) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from graphloom.fluent import Traversal
 from graphloom.functions.values import Value, collect, count, greatest, least, mean, total
-from graphloom.model import PropertyGraph
+from graphloom.model import EdgeTable, NodeTable, PropertyGraph, union
 from graphloom.operators import components, paths, ranking, schema, shape
-from graphloom.operators.writes import Transaction
-from graphloom.plans.match import hop, match, neighbours, node
+from graphloom.operators.writes import Transaction, replay
+from graphloom.plans.match import guarded, hop, match, neighbours, node
 from graphloom.sources import files
 from graphloom.sources.tables import LABELS, SHIFT, table_graph
-from graphloom.storage import shared_dir
+from graphloom.storage import materialize, shared_dir
 
 Graph = Callable[[PropertyGraph], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Graph], Graph]:
     def add(f: Graph) -> Graph:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(table_graph(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(table_graph(spark, sf_dir))  # files are opened when f uses them
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -32,6 +32,10 @@ def query(sql: str | None = None) -> Callable[[Graph], Graph]:
     return add
 
 
+def _spark() -> SparkSession:
+    return SparkSession.getActiveSession()
+
+
 def _id(label: str, key: str) -> str:
     return f"(CAST({LABELS.index(label) + 1} AS BIGINT) * {SHIFT} + {key})"
 
@@ -45,6 +49,10 @@ def _r(v, digits: int = 4) -> Value:
     return Value(F.round(v.col, digits), "number")
 
 
+def _thousands(v) -> Value:
+    return Value(F.round(v.col / 1000), "number")
+
+
 def _rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -320,11 +328,14 @@ def homomorphic_reuse(g):
     return m.returns(lambda v: {"a": v.a.name, "n": count()})
 
 
-@query(f"WITH {REFERS} SELECT x.src AS a, y.src AS b, z.src AS c FROM refers x JOIN refers y ON x.dst = y.src JOIN refers z ON y.dst = z.src AND z.dst = x.src")
+_TRADES = "trades AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)"
+
+
+@query(f"WITH {_TRADES} SELECT x.src AS a, y.src AS b, count(*) AS n FROM trades x JOIN trades y ON x.dst = y.src JOIN trades z ON y.dst = z.src AND z.dst = x.src GROUP BY 1, 2")
 def cycle_triangle(g):
-    c = lambda v: node(v, "Customer", fetch=False)
-    m = match(g, c("a"), hop("REFERS"), c("b"), hop("REFERS"), c("c"), hop("REFERS"), c("a"))
-    return m.returns(lambda v: {"a": _key(v.a.id), "b": _key(v.b.id), "c": _key(v.c.id)})
+    c = lambda v: node(v, "Nation", fetch=False)
+    m = match(g, c("a"), hop("TRADES"), c("b"), hop("TRADES"), c("c"), hop("TRADES"), c("a"))
+    return m.returns(lambda v: {"a": _key(v.a.id), "b": _key(v.b.id), "n": count()})
 
 
 @query("SELECT l_orderkey AS purchase, l_suppkey AS supplier, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey GROUP BY 1, 2")
@@ -351,11 +362,11 @@ def cartesian_small(g):
     return match(g, node("a", "Region")).path(node("b", "Region")).returns(lambda v: {"a": v.a.name, "b": v.b.name})
 
 
-@query("SELECT c_custkey AS customer, s_suppkey AS supplier FROM customer JOIN supplier ON c_nationkey = s_nationkey AND round(c_acctbal) = round(s_acctbal)")
+@query("SELECT c_custkey AS customer, s_suppkey AS supplier FROM customer JOIN supplier ON c_nationkey = s_nationkey AND round(c_acctbal / 1000) = round(s_acctbal / 1000)")
 def value_join(g):
     a = match(g, node("c", "Customer"), hop("LIVES_IN"), node("n", "Nation", fetch=False))
     b = match(g, node("s", "Supplier"), hop("BASED_IN"), node("m", "Nation", fetch=False))
-    m = a.join_path(b, lambda v: (v.n.id == v.m.id) & (_r(v.c.acctbal, 0) == _r(v.s.acctbal, 0)))
+    m = a.join_path(b, lambda v: (v.n.id == v.m.id) & (_thousands(v.c.acctbal) == _thousands(v.s.acctbal)))
     return m.returns(lambda v: {"customer": _key(v.c.id), "supplier": _key(v.s.id)})
 
 
@@ -443,6 +454,35 @@ def f_range_index(g):
     return Traversal.nodes_where(g, "Part", "size", gte=10, lt=12).df.select((F.col("id") % SHIFT).alias("key"), "size")
 
 
+@query("SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'AUTOMOBILE'")
+def f_exact_index(g):
+    g = g.with_index("property", "Customer", "mktsegment")
+    return Traversal.nodes_where(g, "Customer", "mktsegment", "AUTOMOBILE").df.select((F.col("id") % SHIFT).alias("key"))
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS price FROM orders WHERE o_custkey = 7")
+def f_by_id(g):
+    t = Traversal.node(_only(g, ("Customer", "Purchase"), ("PLACED",)), (LABELS.index("Customer") + 1) * SHIFT + 7).out("PLACED")
+    return t.df.select((F.col("id") % SHIFT).alias("key"), F.col("totalprice").alias("price"))
+
+
+@query("SELECT p_partkey AS key FROM part WHERE p_size > 45 AND p_brand <> 'Brand#11' ORDER BY p_retailprice DESC, p_partkey LIMIT 5 OFFSET 3")
+def f_where_order_page(g):
+    t = Traversal.nodes(g, "Part").where(lambda r: (r.size > 45) & (r.brand != "Brand#11") & ~(r.size == "46"))
+    return t.order(F.desc("retailprice"), "id").skip(3).limit(5).df.select((F.col("id") % SHIFT).alias("key"))
+
+
+@query("SELECT count(*) AS n FROM nation")
+def f_stream(g):
+    rows = [(r["name"],) for r in Traversal.nodes(g, "Nation").stream()]  # 25 rows, one by one
+    return _spark().createDataFrame(rows, "name string").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name AS name FROM nation")
+def rows_guarded(g):
+    return guarded(match(g, node("n", "Nation")).returns(lambda v: {"name": v.n.name}), 25)
+
+
 _TOKENS = "list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), '%s')"
 
 
@@ -531,9 +571,6 @@ def components_weak(g):
     return df.select((F.col("node") % SHIFT).alias("node"), (F.col("node") >= 3 * SHIFT).cast("int").alias("kind"), "component")
 
 
-_TRADES = "trades AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)"
-
-
 @query(f"WITH RECURSIVE {_TRADES}, reach AS (SELECT n_nationkey AS a, n_nationkey AS b FROM nation UNION SELECT a, dst FROM reach JOIN trades ON b = src), roots AS (SELECT x.a, min(x.b) AS root FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT a AS node, dense_rank() OVER (ORDER BY root) - 1 AS component FROM roots")
 def components_strong(g):
     return _node(components.strong_components(_nations(g)))
@@ -566,9 +603,18 @@ def all_shortest_paths_count(g):
     return paths.all_shortest_paths(_customers(g), _START, _START + 77).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_WALK = f"{_TRADES}, walk AS (SELECT n_nationkey AS a, n_nationkey AS b, 0 AS d FROM nation UNION SELECT a, dst, d + 1 FROM walk JOIN trades ON b = src WHERE d < 12)"
+
+
+@query(
+    f"WITH RECURSIVE {_WALK}, dist AS (SELECT a, b, min(d) AS d FROM walk GROUP BY 1, 2), "
+    "paths AS (SELECT n_nationkey AS a, n_nationkey AS b FROM nation UNION ALL SELECT p.a, t.dst FROM paths p JOIN trades t ON p.b = t.src JOIN dist x ON x.a = p.a AND x.b = p.b JOIN dist y ON y.a = p.a AND y.b = t.dst AND y.d = x.d + 1), "
+    "sigma AS (SELECT a, b, count(*) AS n FROM paths GROUP BY 1, 2), "
+    "through AS (SELECT x.b AS node, sum(sx.n * sy.n / sz.n::DOUBLE) AS score FROM dist x JOIN dist y ON x.b = y.a AND x.d > 0 AND y.d > 0 JOIN dist z ON z.a = x.a AND z.b = y.b AND z.d = x.d + y.d JOIN sigma sx ON sx.a = x.a AND sx.b = x.b JOIN sigma sy ON sy.a = y.a AND sy.b = y.b JOIN sigma sz ON sz.a = z.a AND sz.b = z.b GROUP BY 1) "
+    "SELECT n_nationkey AS node, round(coalesce(score, 0), 6) AS score FROM nation LEFT JOIN through ON node = n_nationkey"
+)
 def betweenness(g):
-    return _node(ranking.betweenness(_nations(g)))
+    return _node(ranking.betweenness(_nations(g))).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -576,16 +622,53 @@ def louvain(g):
     return _node(components.louvain(_nations(g)))
 
 
+@query("SELECT count(*) AS nodes, true AS good FROM customer")
+def louvain_quality(g):
+    """The modularity of the communities of all customers is far over that of chance."""
+    g = _customers(g)
+    part, edges = materialize(components.louvain(g)), g.edge_frame("REFERS", props=False)
+    ends = [part.select(F.col("node").alias(e), F.col("community").alias(f"c_{e}")) for e in ("src", "dst")]
+    both = edges.join(ends[0], "src").join(ends[1], "dst")
+    m = edges.count()
+    degree = both.select(F.explode(F.array("c_src", "c_dst")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    inside = both.filter("c_src = c_dst").groupBy(F.col("c_src").alias("c")).agg(F.count(F.lit(1)).alias("inside"))
+    quality = degree.join(inside, "c", "left").agg(F.sum(F.coalesce("inside", F.lit(0)) / m - (F.col("k") / (2 * m)) ** 2).alias("q"))
+    return part.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(quality.select((F.col("q") > 0.35).alias("good")))  # one row each
+
+
 @query()
 def topo_order(g):
     return _node(paths.topo_sort(_only(g, ("Nation", "Region"), ("IN_REGION",))))
 
 
+@query("SELECT count(*) AS nodes, count(*) AS places, 0 AS violated FROM orders")
+def topo_valid(g):
+    """Every purchase has a place of its own, before that of the customer's next purchase."""
+    g = _only(g, ("Purchase",), ("NEXT_PURCHASE",))
+    order = materialize(paths.topo_sort(g))
+    ends = [order.select(F.col("node").alias(e), F.col("order").alias(f"o_{e}")) for e in ("src", "dst")]
+    wrong = g.edge_frame("NEXT_PURCHASE", props=False).join(ends[0], "src").join(ends[1], "dst").filter("o_src >= o_dst")
+    return order.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("order").alias("places")).crossJoin(wrong.agg(F.count(F.lit(1)).cast("int").alias("violated")))  # one row each
+
+
 @query()
 def cycles(g):
     return paths.cycles(_nations(g))
 
 
+_CYCLIC = f"{_WALK}, back AS (SELECT x.a, min(x.b) AS root FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a GROUP BY 1)"
+
+
+@query(f"WITH RECURSIVE {_CYCLIC} SELECT (SELECT count(*) FROM trades WHERE src = dst) + (SELECT count(*) FROM (SELECT root FROM back GROUP BY 1 HAVING count(*) > 1)) AS cycles, 0 AS broken")
+def cycles_valid(g):
+    """One cycle for each self-loop and each strong component of several nodes, and every step of a cycle is an edge."""
+    g = _nations(g)
+    found = materialize(paths.cycles(g))
+    steps = found.select(F.posexplode("cycle").alias("i", "src"), "cycle").select("src", F.element_at("cycle", F.col("i") + 2 - F.size("cycle") * (F.col("i") + 1 == F.size("cycle")).cast("int")).alias("dst"))
+    broken = steps.join(g.edge_frame("TRADES", props=False), ["src", "dst"], "left_anti")
+    return found.agg(F.count(F.lit(1)).alias("cycles")).crossJoin(broken.agg(F.count(F.lit(1)).cast("int").alias("broken")))  # one row each
+
+
 # Schema
 @query("SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Document', count(*) FROM documents UNION ALL SELECT 'Labelled', count(*) FROM labels WHERE quality IS NOT NULL")
 def schema_labels(g):
@@ -602,6 +685,15 @@ def schema_edge_types(g):
     return schema.edge_types(_only(g, ("Customer", "Purchase", "Nation", "Region"), ("PLACED", "LIVES_IN", "IN_REGION")))
 
 
+@query(
+    "SELECT 'label' AS kind, 'Nation' AS name, '' AS detail, count(*) AS n FROM nation UNION ALL SELECT 'label', 'Customer', '', count(*) FROM customer UNION ALL SELECT 'property', 'Nation.name', 'string', count(n_name) FROM nation "
+    "UNION ALL SELECT 'property', 'Customer.name', 'string', count(c_name) FROM customer UNION ALL SELECT 'property', 'Customer.acctbal', 'number', count(c_acctbal) FROM customer UNION ALL SELECT 'property', 'Customer.mktsegment', 'string', count(c_mktsegment) FROM customer "
+    "UNION ALL SELECT 'property', 'REFERS.w', 'number', 2 * count(*) FROM customer UNION ALL SELECT 'edge', 'LIVES_IN', 'Customer -> Nation', count(*) FROM customer UNION ALL SELECT 'edge', 'REFERS', 'Customer -> Customer', 2 * count(*) FROM customer"
+)
+def schema_summary(g):
+    return schema.summary(_only(g, ("Nation", "Customer"), ("LIVES_IN", "REFERS")))
+
+
 @query("SELECT 'PLACED' AS type, 'Customer' AS from_label, 'Purchase' AS to_label UNION ALL SELECT 'IN_REGION', 'Nation', 'Region'")
 def schema_dominant(g):
     return schema.dominant_endpoints(_only(g, ("Customer", "Purchase", "Nation", "Region"), ("PLACED", "IN_REGION")))
@@ -633,7 +725,7 @@ def display_labels(g):
 def synthetic_graph(g):
     from graphloom.sources.datasets import synthetic
 
-    e = synthetic(g.scan().sparkSession, 1000, 20000).edge_frame("LINKS")
+    e = synthetic(_spark(), 1000, 20000).edge_frame("LINKS")
     return e.agg(F.count(F.lit(1)).cast("int").alias("edges"), (F.avg("src") < 0.75 * F.avg("dst")).alias("skewed"))
 
 
@@ -679,6 +771,60 @@ def merge_idempotent(g):
     return df.groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("n"), F.coalesce(F.max("made"), F.lit(False)).alias("made"))
 
 
+@query("SELECT r_name AS region, n_name AS nation, false AS created FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 12 UNION ALL SELECT 'ATLANTIS', n_name, true FROM nation WHERE n_nationkey < 3")
+def merge_pattern(g):
+    """A path that matches whole stays; one that does not is created whole, though one of its ends exists."""
+    t = Transaction(_only(g, ("Nation", "Region"), ("IN_REGION",)))
+    m = match(t.graph, node("n", "Nation"), hop("IN_REGION"), node("r", "Region")).where(lambda v: _key(v.n.id) < 12)
+    rows = m.returns(lambda v: {"region": v.r.name, "nation": v.n.name, "k": _key(v.n.id)})
+    rows = rows.unionByName(rows.filter("k < 3").withColumn("region", F.lit("ATLANTIS"))).drop("k")
+    found = t.merge_path(rows, node("n", "Nation", name=F.col("nation")), hop("IN_REGION"), node("r", "Region", name=F.col("region")))
+    after = t.bound(found, n="Nation", r="Region").returns(lambda v: {"region": v.r.name, "nation": v.n.name, "id": v.n.id})
+    return after.join(found.select(F.col("n").alias("id"), "created"), "id").drop("id")
+
+
+@query("SELECT n_name AS name, 1 AS profiles, CASE WHEN n_regionkey = 1 THEN 'kept' ELSE 'new' END AS state FROM nation")
+def merge_bound_rows(g):
+    """Once for each row of a match, with its bound variable; the second time nothing is created."""
+    t = Transaction(_only(g, ("Nation",), ("IN_REGION",)))
+    rows = match(t.graph, node("n", "Nation")).returns(lambda v: {"n": v.n.id})
+    path = (node("n", "Nation"), hop("HAS"), node("p", "Profile"))
+    t.merge_path(rows, *path, on_create={"p.state": F.lit("new")})
+    again = Transaction(t.commit())
+    some = match(g, node("n", "Nation", fetch=False), hop("IN_REGION"), node("r", "Region")).where(lambda v: _key(v.r.id) == 1).returns(lambda v: {"n": v.n.id})
+    again.merge_path(some, *path, on_match={"p.state": F.lit("kept")})
+    m = match(again.commit(), *path)
+    return m.returns(lambda v: {"name": v.n.name, "profiles": count(), "state": least(v.p.state)}).withColumn("profiles", F.col("profiles").cast("int"))
+
+
+@query("SELECT 'VALIDATION' AS code, name FROM (VALUES ('not finite'), ('no name'), ('no property')) t(name)")
+def invalid_props(g):
+    from graphloom.model import GraphError
+
+    region = _only(g, ("Region",), ()).scan().select("id")
+    tries = {"not finite": region.withColumn("x", F.lit(float("nan"))), "no name": region.withColumn(" ", F.lit(1)), "no property": region.withColumn("x", F.struct("id"))}
+    rows = []
+    for name, changes in tries.items():
+        try:
+            Transaction(_only(g, ("Region",), ())).set_props("Region", changes)
+        except GraphError as e:
+            rows.append((e.code, name))
+    return _spark().createDataFrame(rows, "code string, name string")
+
+
+@query("SELECT c_custkey AS customer, n_nationkey AS nation, CASE WHEN n_regionkey = 2 THEN 1.5::DOUBLE END AS since FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 3")
+def edge_props_replayed(g):
+    """Edge properties set, edges deleted, and the log replayed on the old graph."""
+    old = _only(g, ("Customer", "Nation"), ("LIVES_IN",))
+    where = lambda region: match(g, node("c", "Customer", fetch=False), hop("LIVES_IN", var="e"), node("n", "Nation", fetch=False), hop("IN_REGION"), node("r", "Region", fetch=False)).where(lambda v: _key(v.r.id) == region).returns(lambda v: {"id": v.e.id})
+    t = Transaction(old)
+    t.set_props("LIVES_IN", where(2).withColumn("since", F.lit(1.5)), edge=True)
+    t.delete_edges("LIVES_IN", where(3))
+    t.commit()
+    m = match(replay(old, union(t.log)), node("c", "Customer", fetch=False), hop("LIVES_IN", var="e"), node("n", "Nation", fetch=False))
+    return m.returns(lambda v: {"customer": _key(v.c.id), "nation": _key(v.n.id), "since": v.e.since})
+
+
 @query("SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def unique_violation_report(g):
     from graphloom.model import Index
@@ -689,12 +835,22 @@ def unique_violation_report(g):
 @query("SELECT 'property' AS kind, 'Customer' AS label, 'mktsegment' AS property UNION ALL SELECT 'fulltext', 'Document', 'text'")
 def show_indexes(g):
     g = g.with_index("property", "Customer", "mktsegment").with_index("fulltext", "Document", "text").with_index("unique", "Region", "name")
-    return g.show_indexes(g.scan().sparkSession)
+    return g.show_indexes(_spark())
+
 
+@query("SELECT 'unique' AS kind, 'Region' AS label, 'name' AS property")
+def show_constraints(g):
+    return g.with_index("property", "Customer", "mktsegment").with_index("unique", "Region", "name").show_constraints(_spark())
 
-@query("SELECT 'x' AS problem, 1 AS n WHERE false")
+
+@query("SELECT 'edge without src' AS problem, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 UNION ALL SELECT 'edge without dst', count(*) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'repeated node id', count(*) FROM region")
 def invariants(g):
-    return _only(g, ("Customer", "Purchase", "Nation", "Region"), ("PLACED", "LIVES_IN", "IN_REGION")).check().withColumn("n", F.col("n").cast("int"))
+    """What is wrong with a graph that lost nodes and has others twice."""
+    g = _only(g, ("Customer", "Purchase", "Nation", "Region"), ("PLACED", "LIVES_IN", "IN_REGION"))
+    lost = match(g, node("c", "Customer"), hop("LIVES_IN"), node("n", "Nation", fetch=False)).where(lambda v: _key(v.n.id) == 3).returns(lambda v: {"id": v.c.id})
+    customers = g.scan("Customer").join(lost, "id", "left_anti")
+    nodes = {"Customer": NodeTable(customers, ("Customer",)), "Purchase": NodeTable(g.scan("Purchase").filter("status <> 'P'"), ("Purchase",)), "Region": NodeTable(g.scan("Region").union(g.scan("Region")), ("Region",))}
+    return PropertyGraph(nodes, {"PLACED": g.edges["PLACED"]}).check()
 
 
 # Files
@@ -703,41 +859,76 @@ def export_nodes(g):
     return files.export_nodes(_only(g, ("Region",), ())).withColumn("labels", F.array_join("labels", "|"))
 
 
-def _csv(spark: SparkSession, text: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/rows"
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    return files.read_csv(spark, path)
+@query(f"SELECT CAST({_id('Nation', 'n_nationkey')} AS VARCHAR) AS \"from\", CAST({_id('Region', 'n_regionkey')} AS VARCHAR) AS \"to\", 'IN_REGION' AS type, '{{}}' AS properties FROM nation UNION ALL SELECT CAST({_id('Purchase', 'l_orderkey')} AS VARCHAR), CAST({_id('Supplier', 'l_suppkey')} AS VARCHAR), 'FULFILLED_BY', '{{\"quantity\":' || l_quantity || '}}' FROM lineitem WHERE l_quantity < 3")
+def export_edges(g):
+    g = _only(g, ("Nation", "Region", "Purchase", "Supplier"), ("IN_REGION", "FULFILLED_BY"))
+    some = EdgeTable(g.edges["FULFILLED_BY"].df.filter("quantity < 3"), "FULFILLED_BY", "Purchase", "Supplier")
+    return files.export_edges(PropertyGraph(g.nodes, g.edges | {"FULFILLED_BY": some}))
+
+
+def _csv(df: DataFrame) -> DataFrame:
+    path = shared_dir(df.sparkSession)
+    df.write.csv(path, header=True, quote='"', escape='"')
+    return files.read_csv(df.sparkSession, path)
 
 
-@query("SELECT * FROM (VALUES ('1', 'Person|Author', 'Ada, \"A\"', 1815.0::DOUBLE, 'true'), ('2', 'Person', 'Bob', NULL, 'absent')) t(\"tempId\", labels, name, born, active)")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS \"tempId\", CASE WHEN c_acctbal > 0 THEN 'Customer|Solvent' ELSE 'Customer' END AS labels, c_mktsegment || ', \"' || c_name || '\"' AS name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance, CASE WHEN c_nationkey < 20 THEN CAST(c_nationkey < 10 AS VARCHAR) ELSE 'absent' END AS near FROM customer")
 def csv_import_nodes(g):
-    spark = g.scan().sparkSession
-    df = files.nodes_from_csv(_csv(spark, 'tempId,:label,name:string,born:number,active:boolean\n1,Person|Author,"Ada, ""A""",1815,true\n2,Person,Bob,,'))
-    return df.withColumns({"labels": F.array_join("labels", "|"), "active": F.coalesce(F.col("active").cast("string"), F.lit("absent"))})
+    c = _only(g, ("Customer", "Nation"), ("LIVES_IN",))
+    rows = match(c, node("c", "Customer"), hop("LIVES_IN"), node("n", "Nation", fetch=False)).returns(lambda v: {"k": _key(v.c.id), "name": v.c.name, "segment": v.c.mktsegment, "bal": v.c.acctbal, "nation": _key(v.n.id)})
+    nation = F.when(F.col("nation") < 20, (F.col("nation") < 10).cast("string"))
+    table = rows.select(F.col("k").alias("tempId"), F.when(F.col("bal") > 0, "Customer|Solvent").otherwise("Customer").alias(":label"), F.concat("segment", F.lit(', "'), "name", F.lit('"')).alias("name:string"), F.when(F.col("bal") > 0, F.col("bal")).alias("balance:number"), nation.alias("near:boolean"))
+    df = files.nodes_from_csv(_csv(table))
+    return df.withColumns({"labels": F.array_join("labels", "|"), "near": F.coalesce(F.col("near").cast("string"), F.lit("absent"))})
 
 
-@query("SELECT * FROM (VALUES ('1', '2', 'KNOWS', 5.0::DOUBLE), ('2', '1', 'LIKES', NULL)) t(\"from\", \"to\", type, weight)")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS \"from\", CAST(l_suppkey AS VARCHAR) AS \"to\", 'FULFILLED_BY' AS type, CASE WHEN l_quantity > 5 THEN l_quantity::DOUBLE END AS quantity FROM lineitem")
 def csv_import_edges(g):
-    return files.edges_from_csv(_csv(g.scan().sparkSession, ":from,:to,:type,weight:number\n1,2,KNOWS,5\n2,1,LIKES,"))
+    e = g.edges["FULFILLED_BY"].df
+    table = e.select((F.col("src") % SHIFT).alias(":from"), (F.col("dst") % SHIFT).alias(":to"), F.lit("FULFILLED_BY").alias(":type"), F.when(F.col("quantity") > 5, F.col("quantity")).alias("quantity:number"))
+    return files.edges_from_csv(_csv(table))
+
+
+@query("SELECT r_name AS region, count(*) AS nations, min(n_name) AS first FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+def import_json(g):
+    """Exported, read back as JSON lines, imported under new ids, and matched."""
+    path = shared_dir(_spark())
+    files.export_json(_only(g, ("Nation", "Region"), ("IN_REGION",)), path)
+    nodes, edges = files.read_json_lines(_spark(), path, "name string", "since double")
+    m = match(files.import_graph(nodes, edges, ["Nation", "Region"], ["IN_REGION"]), node("n", "Nation"), hop("IN_REGION"), node("r", "Region"))
+    return m.returns(lambda v: {"region": v.r.name, "nations": count(), "first": least(v.n.name)})
+
+
+@query("SELECT 25 AS nodes, (SELECT (count(*) - 1) // 10 * 10 FROM customer) AS edges, 'edges' AS kind, 'an endpoint is no node' AS error, 5 AS before")
+def import_batches(g):
+    """Edges from an imported row to a node of the graph, in batches of ten; the first bad batch ends the import and the ones before stay."""
+    old = _only(g, ("Region",), ())
+    nodes = g.scan("Nation").select(F.concat(F.lit("n"), (F.col("id") % SHIFT).cast("string")).alias("tempId"), "labels", "name")
+    at, here = F.col("id") % SHIFT, str(SHIFT + 1)
+    # The row without an end is the last one.
+    edges = g.scan("Customer").select(F.lit("n1").alias("from"), F.when(at == 7, here + "x").otherwise(here).alias("to"), F.lit("NEAR").alias("type"), at.cast("double").alias("rank"))
+    after, report = files.import_batches(old, nodes, edges, ["Nation"], ["NEAR"], batch=10)
+    return _spark().createDataFrame([(report.nodes, after.edge_frame("NEAR").count(), report.at[0], report.error, after.scan("Region").count())], "nodes int, edges long, kind string, error string, before int")
 
 
 # The feed
-def _feed(g: PropertyGraph, **filters) -> DataFrame:
-    """Three transactions, written as versions, read back by a bounded run of the stream."""
+def _feed(g: PropertyGraph, from_tx: int = 0, per_trigger: int | None = None, **filters) -> DataFrame:
+    """Three transactions, written as versions, read back by a bounded run of the stream. The second one also has an edge for each node."""
     from graphloom.streaming import feed
 
-    spark = g.scan().sparkSession
+    spark = _spark()
     path, out = shared_dir(spark), shared_dir(spark)
     graph = _only(g, ("Region", "Nation"), ("IN_REGION",))
     for tx, label in enumerate(("City", "River", "City"), 1):
         t = Transaction(graph)
         rows = graph.scan("Region").select(F.col("id").alias("k"), F.concat(F.lit(f"{label} {tx} of "), F.col("name")).alias("name"))
-        t.create_nodes(label, rows, "k")
+        new = t.create_nodes(label, rows, "k")
+        if tx == 2:
+            t.create_edges("FLOWS", new.select(F.col("id").alias("src"), F.col("k").alias("dst")), label, "Region")
         graph = t.commit()
         files.save(graph, path, tx, t.log)
-    from_tx = filters.pop("from_tx", 0)
-    stream = feed.subscribe(spark, f"{path}/ops", from_tx)
-    feed.deliver(stream, lambda batch: batch.write.mode("append").parquet(out), f"{out}-checkpoint", **filters).awaitTermination()
+    stream = feed.subscribe(spark, path, from_tx, per_trigger)
+    feed.deliver(stream, path, lambda batch: batch.write.mode("append").parquet(out), f"{out}-checkpoint", **filters).awaitTermination()
     return spark.read.schema(feed.SCHEMA).parquet(out).groupBy("tx_id", "op", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -746,6 +937,15 @@ def feed_filter_labels(g):
     return _feed(g, labels=("City",))
 
 
-@query("SELECT tx_id, 'createNode' AS op, name, (SELECT count(*) FROM region) AS n FROM (VALUES (CAST(2 AS BIGINT), 'River'), (3, 'City')) t(tx_id, name)")
+_TWO = "(VALUES (CAST(2 AS BIGINT), 'createNode', 'River'), (2, 'createEdge', 'FLOWS')%s) t(tx_id, op, name)"
+
+
+@query(f"SELECT tx_id, op, name, (SELECT count(*) FROM region) AS n FROM {_TWO % ''}")
+def feed_whole_transactions(g):
+    """A transaction of several files passes a filter whole, though micro-batches have one commit each."""
+    return _feed(g, per_trigger=1, types=("FLOWS",))
+
+
+@query(f"SELECT tx_id, op, name, (SELECT count(*) FROM region) AS n FROM {_TWO % ", (3, 'createNode', 'City')"}")
 def feed_from_cursor(g):
     return _feed(g, from_tx=2)

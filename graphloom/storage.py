@@ -7,7 +7,8 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,13 @@ def materialize(df: DataFrame, release: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """materialize(), and the number of rows, counted while they are written: one job and not two."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Remove what materialize() wrote, once nothing reads it any more."""
     for df in frames:

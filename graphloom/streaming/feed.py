@@ -1,7 +1,8 @@
-"""The change feed on Structured Streaming: a stream over the operations that versions wrote.
+"""The change feed on Structured Streaming: a stream over the commits of written versions.
 
-Rows are op, kind, name, id, tx_id. A transaction is one batch of operations; a filter forwards all of
-it if it creates a node of a wanted label or an edge of a wanted type.
+A commit is one small file, so a transaction is seen as soon as it counts, and whole: a micro-batch has
+the operations (writes.OPS and tx_id) of one or more transactions, read from their versions. A filter
+forwards all of a transaction if it creates a node of a wanted label or an edge of a wanted type.
 """
 
 from __future__ import annotations
@@ -10,21 +11,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.model import GraphError
+from graphloom.operators.writes import OPS
+from graphloom.sources.files import versions
 
-SCHEMA = "op string, kind string, name string, id long, tx_id long"
+SCHEMA = f"{OPS}, tx_id long"
 
 
 def subscribe(spark: SparkSession, path: str, from_tx: int = 0, per_trigger: int | None = None) -> DataFrame:
-    """A stream of operations from a transaction on. A cursor older than what is kept is an error."""
-    kept = spark.read.schema(SCHEMA).parquet(path).agg(F.min("tx_id")).first()[0]
-    if kept is not None and 0 < from_tx < kept:
-        raise GraphError("NOT_FOUND", f"resync required: kept from {kept}, asked for {from_tx}")
-    reader = spark.readStream.schema(SCHEMA)
+    """A stream of commits (tx_id, ops) from a transaction on, at most per_trigger a micro-batch. A
+    cursor older than what is kept is an error."""
+    kept = versions(spark, path)
+    if kept and 0 < from_tx < kept[0]:
+        raise GraphError("NOT_FOUND", f"resync required: kept from {kept[0]}, asked for {from_tx}")
+    reader = spark.readStream.schema("version long, ops boolean")
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(path).filter(F.col("tx_id") >= from_tx)
+    commits = reader.json(f"{path}/commits").select(F.col("version").alias("tx_id"), "ops")
+    return commits.filter(F.col("tx_id") >= from_tx)
+
+
+def operations(spark: SparkSession, path: str, tx_ids: list[int]) -> DataFrame:
+    """The operations of transactions. One that is kept no more is an error: its reader has to resync."""
+    gone = sorted(set(tx_ids) - set(versions(spark, path)))
+    if gone:
+        raise GraphError("NOT_FOUND", f"resync required: {gone[0]} is kept no more")
+    return spark.read.schema(SCHEMA).parquet(*(f"{path}/v={t}/ops" for t in tx_ids))
 
 
 def wanted(batch: DataFrame, labels: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> DataFrame:
@@ -35,19 +49,21 @@ def wanted(batch: DataFrame, labels: tuple[str, ...] = (), types: tuple[str, ...
     return batch.join(batch.filter(hit).select("tx_id").distinct(), "tx_id", "left_semi")
 
 
-def deliver(stream: DataFrame, handler: Callable[[DataFrame], None], checkpoint: str, labels: tuple[str, ...] = (), types: tuple[str, ...] = (), available_now: bool = True):
-    """Run the handler on each micro-batch, in order; a handler's error does not end the feed."""
+def deliver(
+    stream: DataFrame, path: str, handler: Callable[[DataFrame], None], checkpoint: str, labels: tuple[str, ...] = (), types: tuple[str, ...] = (), available_now: bool = True
+) -> StreamingQuery:
+    """Hand the operations of each micro-batch of subscribe() to a handler; by default up to what is there now.
+
+    A handler that fails ends its own subscription, not others. Its batch does not count as delivered:
+    the same checkpoint starts with it again."""
 
     def each(batch: DataFrame, _: int) -> None:
-        try:
-            handler(wanted(batch, labels, types))
-        except Exception as e:  # noqa: BLE001  (handlers are isolated from the feed)
-            print(f"feed handler failed: {e}")
+        spark = batch.sparkSession
+        tx_ids = sorted(r["tx_id"] for r in batch.filter("ops").select("tx_id").collect())  # one row a transaction
+        if tx_ids:
+            found = wanted(operations(spark, path, tx_ids), labels, types)
+            if not found.isEmpty():
+                handler(found)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def label_counts(events: DataFrame, time: str, window: str, late: str) -> DataFrame:
-    """Extension: creations by label and event-time window, with a watermark for late rows."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), "name").agg(F.count(F.lit(1)).alias("n"))
