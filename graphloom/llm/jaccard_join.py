@@ -11,14 +11,27 @@
    it pass. Larger tiles are banded by size and make no pairs: their nodes of neighbouring bands
    join one group of candidates, by one edge a node.
 4. Groups are verified with exact intersections of sorted arrays, in blocks of at most BLOCK
-   nodes: every block with the first one, and then what is still apart with every block. A pair
-   that is already connected through verified links needs no check, so a group of copies costs in
-   proportion to its size, while no link between different texts is lost. The candidate pairs that
-   are not connected by then are verified one by one.
+   nodes, every block with the first one. A pair that is already connected through verified links
+   needs no check, so a group of copies costs in proportion to its size, while no link between
+   different texts is lost. Most groups of several blocks are one component then.
+5. Of a group that is not, the nodes apart from its largest component are tried with all its nodes. Its
+   shingles are counted: a pair has at most as many common ones (of more than TILE nodes) as the node
+   that has fewer of them, and whatever a link needs beyond these are rare ones. So a pair shares enough
+   rare shingles, which are small tiles like those of step 3; or both have so many common ones that these
+   could do. Nodes of the latter kind are sorted by size into blocks, and blocks meet if their sizes and
+   numbers of common shingles allow any link.
+6. The candidate pairs that are not connected by then are verified one by one.
+
+What is left of the square of a group's size: nodes that consist of shingles that over TILE nodes of the
+group have, nine of ten of them at a similarity of 0.9, and yet do not link.
+
+Names of sets have 128 bits (a node's name is 64 of them, remade for sets that share these alone);
+shingles are compared by 64-bit names.
 
 Defined results: null or blank text has no shingles and is linked with nothing; repeated rows
-are linked (equal sets) unless empty; rows without an id get the component's id; an empty table
-gives no rows; extra columns are ignored.
+are linked (equal sets) unless empty; rows without an id get the component's id; of a component the row
+of least id stays, a null id being the least; very long texts count whole; an empty table gives no rows;
+other columns are ignored, or kept as they are by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +51,8 @@ TILE = 128
 BLOCK = 512
 #: At most so many shingles are put last, those of the largest tiles of LARGE nodes or more.
 HEAVY, LARGE = 200_000, 16
+#: So many names that different sets share are dealt with.
+SHARED = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -78,9 +93,12 @@ def _sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
             yield np.empty(0, dtype=np.int64)
 
 
-def set_name(s: np.ndarray) -> int:
-    """64-bit name of a set: equal sets have equal names."""
-    return int(mix(np.atleast_1d(mix(s.view(np.uint64), 7).sum(dtype=np.uint64)), len(s)).view(np.int64)[0])
+def set_names(s: np.ndarray, again: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """Two 64-bit names of a set: equal sets have equal names. again: first names that different sets
+    have; there the second name is mixed in."""
+    names = [mix(np.atleast_1d(mix(s.view(np.uint64), seed).sum(dtype=np.uint64)), len(s)) for seed in (7, 8)]
+    u, u2 = (int(x.view(np.int64)[0]) for x in names)
+    return (int(mix(*names).view(np.int64)[0]) if u in again else u), u2
 
 
 def shares(n):
@@ -89,7 +107,10 @@ def shares(n):
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
-    """Two linked sets share shares(n), n of the smaller one, of so many first elements."""
+    """Two linked sets share shares(n), n of the smaller one, of so many first elements. A set so
+    small that one more element breaks a link has links with equal sets only, and needs none."""
+    if den * n < num * (n + 1):
+        return 0
     return min(n, n - -(-n * num // den) + shares(n))
 
 
@@ -148,14 +169,23 @@ def _tile_pairs(token: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[n
 
 
 def _candidates(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of small tiles that share enough prefix shingles. tiles: token, u, n."""
+    """The pairs of small tiles that share enough tokens. tiles: token, u, n, and for step 5 h (common
+    shingles) and apart: pairs of an apart node that the common shingles alone do not link."""
+    rest = "h" in tiles.columns
     dealt = tiles.repartition("token").sortWithinPartitions("token")
 
     def pairs(b: pd.DataFrame) -> pd.DataFrame:
         u, n = b["u"].to_numpy(), b["n"].to_numpy()
         left, right = _tile_pairs(b["token"].to_numpy(), n, num, den)
-        found, c = np.unique(np.c_[np.minimum(u[left], u[right]), np.maximum(u[left], u[right]), np.minimum(n[left], n[right])], axis=0, return_counts=True)
-        return pd.DataFrame({"v": found[:, 0], "w": found[:, 1], "n": found[:, 2], "c": c})
+        if rest:
+            h, apart = b["h"].to_numpy(), b["apart"].to_numpy()
+            some = apart[left] | apart[right]
+            left, right = left[some], right[some]
+            need = np.maximum(needed(n[left], n[right], num, den) - np.minimum(h[left], h[right]), 1)
+        else:
+            need = shares(np.minimum(n[left], n[right]))
+        found, c = np.unique(np.c_[np.minimum(u[left], u[right]), np.maximum(u[left], u[right]), need], axis=0, return_counts=True)
+        return pd.DataFrame({"v": found[:, 0], "w": found[:, 1], "need": found[:, 2], "c": c})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -169,8 +199,8 @@ def _candidates(tiles: DataFrame, num: int, den: int) -> DataFrame:
         if held is not None and len(held):
             yield pairs(held)
 
-    found = dealt.mapInPandas(run, "v long, w long, n long, c long").groupBy("v", "w", "n").agg(F.sum("c").alias("c"))
-    return found.filter(F.col("c") >= 1 + F.floor(F.col("n") / 32)).select("v", "w")
+    found = dealt.mapInPandas(run, "v long, w long, need long, c long").groupBy("v", "w", "need").agg(F.sum("c").alias("c"))
+    return found.filter("c >= need").select("v", "w")
 
 
 def _bounded(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
@@ -220,46 +250,93 @@ def verify_block(u: list, sets: list[np.ndarray], label: list, first: list, num:
     return links
 
 
-def _verify(groups: DataFrame, keys: list[str], size: int, num: int, den: int) -> DataFrame:
-    """groups: keys, u, label, first, text."""
+def _verify(groups: DataFrame, keys: list[str], n_groups: int, size: int, num: int, den: int) -> DataFrame:
+    """groups: keys, u, label, first, text. Groups are small but cost CPU, so they are dealt out explicitly:
+    by their bytes alone Spark would put them into one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first", "u"], ascending=False, kind="stable").drop_duplicates("u")
         links = verify_block(pdf["u"].tolist(), list(shingle_sets(pdf["text"].tolist(), size)), pdf["label"].tolist(), pdf["first"].tolist(), num, den)
         return pd.DataFrame(links, columns=["v", "w"], dtype="int64")
 
-    return groups.groupBy(*keys).applyInPandas(run, "v long, w long")
+    spark = groups.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    parts = max(1, min(n_groups, max(least, n_groups // 16)))
+    return groups.repartition(parts, *keys).groupBy(*keys).applyInPandas(run, "v long, w long")
+
 
+def _shingles(nodes: DataFrame, size: int) -> DataFrame:
+    """component, u, apart, n, token: all shingles of all nodes. nodes: component, u, apart, text."""
 
-def _scan(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Each row's set: n, u, and its prefix in the order of names."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = list(shingle_sets(b["text"].tolist(), size))
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            columns = {c: np.repeat(b[c].to_numpy(), n) for c in ("component", "u", "apart")}
+            yield pd.DataFrame(columns | {"n": np.repeat(n, n), "token": np.concatenate(sets)})
+
+    return nodes.select("component", "u", "apart", "text").mapInPandas(run, "component long, u long, apart boolean, n long, token long")
+
+
+def _rest(nodes: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs and verified links of step 5. nodes: component, u, label, apart, text."""
+    tokens = materialize(_shingles(nodes, size))
+    # Written, so that both sides of the joins are plain shuffles, which Spark can split at a common shingle.
+    counts = materialize(tokens.groupBy("component", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    common = tokens.join(counts.filter(F.col("c") > TILE).select("component", "token"), ["component", "token"], "left_semi").groupBy("u").agg(F.count(F.lit(1)).alias("h"))
+    sized = tokens.groupBy("component", "u", "apart").agg(F.max("n").alias("n")).join(common, "u", "left").select("component", "u", "apart", "n", F.coalesce("h", F.lit(0)).alias("h"))
+    sized = materialize(sized)
+    rare = tokens.join(counts.filter(F.col("c") <= TILE).select("component", "token"), ["component", "token"], "left_semi").join(sized.select("u", "h"), "u")
+    pairs = materialize(_candidates(rare.select(F.xxhash64("component", "token").alias("token"), "u", "n", "h", "apart"), num, den))
+
+    need = lambda a, b: F.ceil(num * (F.col(a) + F.col(b)) / (num + den))
+    able = sized.withColumn("m", F.ceil(F.col("n") * num / den)).filter(F.col("h") >= need("n", "m"))
+    order = ["component", "n", "h", "u"]
+    ranged = materialize(able.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    block = F.shiftleft(F.shiftright("at", 33), 24) + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / BLOCK)
+    blocks = ranged.withColumn("block", block)
+    stats = blocks.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("h").alias("h"), F.max("apart").alias("apart"))
+    side = lambda k: stats.select("component", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi", "h", "apart")))
+    fits = (F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num) & (F.least("h_a", "h_b") >= need("lo_a", "lo_b"))
+    meet = materialize(side("a").filter("apart_a").join(side("b"), "component").filter(fits).select("component", "block_a", "block_b"))
+    rows = blocks.select("component", "block", "u").join(nodes.select("u", "label", "apart", "text"), "u")
+    one = lambda k, first: rows.withColumnRenamed("block", f"block_{k}").join(meet, ["component", f"block_{k}"]).select("component", "block_a", "block_b", "u", "label", "text", first.alias("first"))
+    groups = one("a", F.col("apart")).unionByName(one("b", F.lit(False)))
+    links = materialize(_verify(groups, ["component", "block_a", "block_b"], meet.count(), size, num, den))
+    drop_written(tokens, counts, sized, ranged, meet)
+    return pairs, links
+
+
+def _scan(docs: DataFrame, size: int, num: int, den: int, again: frozenset[int]) -> DataFrame:
+    """Each row's set: n, its names u and u2, and its prefix in the order of names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = list(shingle_sets(b["text"].tolist(), size))
-            out = {"doc_id": b["doc_id"].astype("Int64"), "id": b["id"], "h": b["h"], "n": np.array([len(s) for s in sets], dtype="int64"), "u": np.array([set_name(s) for s in sets], dtype="int64")}
-            yield pd.DataFrame(out | {"prefix": [s[: prefix_length(len(s), num, den)] if len(s) else s for s in sets]})
+            names = np.array([set_names(s, again) for s in sets], dtype="int64").reshape(-1, 2)
+            out = {"doc_id": b["doc_id"].astype("Int64"), "id": b["id"], "h": b["h"], "n": np.array([len(s) for s in sets], dtype="int64"), "u": names[:, 0], "u2": names[:, 1]}
+            yield pd.DataFrame(out | {"prefix": [s[: prefix_length(len(s), num, den)] for s in sets]})
 
-    return docs.mapInPandas(run, "doc_id long, id long, h long, n long, u long, prefix array<long>")
+    return docs.mapInPandas(run, "doc_id long, id long, h long, n long, u long, u2 long, prefix array<long>")
 
 
-def _prefixes(docs: DataFrame, size: int, num: int, den: int, last: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, size: int, num: int, den: int, last: np.ndarray, again: frozenset[int]) -> DataFrame:
     """token, u: prefixes in the order that puts the shingles of `last` at the end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             tokens, us, ns, seen = [], [], [], set()
             for s in shingle_sets(b["text"].tolist(), size):
-                if not len(s) or (u := set_name(s)) in seen:
+                k = prefix_length(len(s), num, den)
+                if not k or (u := set_names(s, again)[0]) in seen:
                     continue
                 seen.add(u)
                 if len(last):
                     heavy = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                     s = np.r_[s[~heavy], s[heavy]]
-                s = s[: prefix_length(len(s), num, den)]
-                tokens.append(s)
+                tokens.append(s[:k])
                 us.append(u)
-                ns.append(len(s))
+                ns.append(k)
             token = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.int64)
             yield pd.DataFrame({"token": token, "u": np.repeat(np.array(us, dtype=np.int64), ns)})
 
@@ -287,29 +364,40 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     spark = docs.sparkSession
     small_batches(spark)
     texts = keyed(docs).drop("row")
-    scanned = materialize(_scan(texts, size, num, den))
-    rows = scanned.drop("prefix")
-    sets = rows.filter("n > 0").groupBy("u").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("id", "h")).alias("row"))
-    sets = materialize(sets.select("u", "n", "least", "row.*"))
+    again: frozenset[int] = frozenset()
+    while True:
+        scanned = materialize(_scan(texts, size, num, den, again))
+        rows = scanned.drop("prefix", "u2")
+        sets = scanned.filter("n > 0").groupBy("u").agg(F.min("n").alias("n"), F.min(F.struct("n", "u2")).alias("lo"), F.max(F.struct("n", "u2")).alias("hi"), F.min("doc_id").alias("least"), F.min(F.struct("id", "h")).alias("row"))
+        sets = materialize(sets.select("u", "n", (F.col("lo") != F.col("hi")).alias("shared"), "least", "row.*"))
+        # Different sets share 64 bits once in 2^64 pairs: of a trillion documents some ten thousand.
+        more = frozenset(r["u"] for r in sets.filter("shared").select("u").limit(SHARED + 1).collect())
+        if not more:
+            break
+        if len(more) > SHARED or again:
+            raise RuntimeError("too many different sets share a name")
+        again = more
+        drop_written(scanned, sets)
 
     counts = scanned.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE)
     last = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("c"), "token").limit(HEAVY).select("token").collect()], dtype=np.int64))
-    entries = materialize(_prefixes(texts, size, num, den, last))
+    entries = materialize(_prefixes(texts, size, num, den, last, again))
     # Written, so that both sides of the join come from a plain shuffle, which Spark can split at a hot shingle.
     shared = materialize(entries.groupBy("token").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("token"))
     entries2 = materialize(entries.join(shared, "token", "left_semi").distinct().join(sets.select("u", "n"), "u"))
     drop_written(entries, shared)
 
-    tile_size = entries2.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    # Written for the same reason, like the other sides of joins with hot tokens and components below.
+    tile_size = materialize(entries2.groupBy("token").agg(F.count(F.lit(1)).alias("m")))
     small = entries2.join(tile_size.filter(F.col("m") <= TILE).select("token"), "token", "left_semi")
     band = F.floor(F.log("n") / float(-np.log(num / den))).alias("band")
     large = entries2.join(tile_size.filter(F.col("m") > TILE).select("token"), "token", "left_semi").select("token", "u", band)
-    leaders = large.groupBy("token", "band").agg(F.min("u").alias("w"))
+    leaders = materialize(large.groupBy("token", "band").agg(F.min("u").alias("w")))
     near = leaders.unionByName(leaders.withColumn("band", F.col("band") - 1))
     star = large.join(near, ["token", "band"]).select(F.col("u").alias("v"), "w").filter("v <> w")
     pairs = materialize(_candidates(small, num, den))
     coarse = materialize(connected_components(star.distinct()).withColumnRenamed("node", "u"))
-    drop_written(entries2)
+    drop_written(entries2, tile_size, leaders)
 
     # The texts and signatures of nodes that have any candidate.
     used = pairs.select(F.col("v").alias("u")).unionByName(pairs.select(F.col("w").alias("u"))).unionByName(coarse.select("u")).distinct().join(sets.select("u", "id", "h"), "u")
@@ -324,28 +412,25 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     pairs = materialize(_bounded(pairs, maps, num, den))
 
     # Blocks of a component: each with the first one.
-    count = coarse.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    count = materialize(coarse.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
     placed = materialize(coarse.join(count, "component").withColumn("block", F.pmod(F.xxhash64("u"), "blocks")).join(nodes, "u"))
     pivot = placed.filter("block = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = placed.filter("block > 0").select("component", "block", "u", "text", F.lit(False).alias("first")).unionByName(pivot.select("component", "block", "u", "text", F.lit(True).alias("first")))
     # Nodes of block k > 0 are first too: pairs inside the block count as well.
     groups = groups.select("component", "block", "u", "text", F.lit(True).alias("first"), F.col("u").alias("label"))
-    links = materialize(_verify(groups, ["component", "block"], size, num, den))
+    n_groups = count.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    links = materialize(_verify(groups, ["component", "block"], n_groups, size, num, den))
     found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
 
-    # What is still apart in a component of several blocks: with every block.
-    split = placed.filter("blocks > 1").join(found, "u", "left").withColumn("label", F.coalesce("label", "u")).select("component", "block", "blocks", "u", "label", "text")
+    # What is still apart in a component of several blocks.
+    split = placed.filter("blocks > 1").join(found, "u", "left").withColumn("label", F.coalesce("label", "u")).select("component", "u", "label", "text")
     sizes = split.groupBy("component", "label").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("component").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("component", F.col("top.label").alias("main"))
-    apart = materialize(split.join(main, "component").filter("label <> main").drop("main"))
-    lots = apart.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lots"))
-    rest = apart.join(lots, "component").withColumn("lot", F.pmod(F.xxhash64("u", F.lit(1)), "lots"))
-    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
-    a = rest.withColumn("block", every("blocks")).select("component", "lot", "block", "u", "label", "text", F.lit(True).alias("first"))
-    b = split.join(lots, "component").withColumn("lot", every("lots")).select("component", "lot", "block", "u", "label", "text", F.lit(False).alias("first"))
-    more = materialize(_verify(a.unionByName(b), ["component", "lot", "block"], size, num, den))
-    links = links.unionByName(more)
-    if not more.isEmpty():
+    rest = materialize(split.join(materialize(main), "component").withColumn("apart", F.col("label") != F.col("main")).drop("main"))
+    if not rest.isEmpty():
+        rare, more = _rest(rest, size, num, den)
+        pairs = pairs.unionByName(_bounded(rare, maps, num, den)).distinct()
+        links = links.unionByName(more)
         found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
     # Pairs of small tiles that are not connected yet.
     label = lambda k: found.select(F.col("u").alias(k), F.col("label").alias(f"label_{k}"))
@@ -354,7 +439,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
 
     named = sets.select("u", "least").join(found, "u", "left").withColumn("label", F.coalesce("label", "u"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")))
     component = named.join(least, "label").select("u", "component_id", "label")
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "id", "h", "label"]
     linked = rows.filter("n > 0").join(component, "u").select(*columns)

@@ -130,15 +130,33 @@ def near_copies():
         yield " \t".join(w)
 
 
+def boilerplate():
+    """Texts that are mostly one boilerplate, just under the threshold, and some that link by what else they share."""
+    rng = random.Random(6)
+    common = [[f"b{k}x{i}" for i in range(120)] for k in range(2)]
+    for i in range(160):
+        words = common[i % 2][: rng.choice([100, 110, 120])]
+        own = [f"u{i if rng.random() < 0.7 else i // 6}y{j}" for j in range(rng.choice([2, 4, 6, 8, 12]))]
+        yield " ".join(own + words) if rng.random() < 0.5 else " ".join(words + own)
+
+
 @pytest.mark.parametrize("tile,block,num", [(8, 16, 90), (128, 512, 80)])
 def test_jaccard_join(spark, monkeypatch, tile, block, num):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    rows = list(enumerate([*near_copies(), "", " ", "x"]))
+    rows = list(enumerate([*near_copies(), *boilerplate(), "", " ", "x"]))
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), num=num)
     same(got.select("doc_id", "n_shingles", "component_id").collect(), brute_components(rows, 3, num, 100))
 
 
+def test_shared_set_names():
+    """Sets that share their first name stay apart by the second one."""
+    sets = [np.arange(20, dtype=np.int64), np.arange(30, dtype=np.int64)]
+    first = [jaccard_join.set_names(s) for s in sets]
+    again = frozenset(u for u, _ in first)
+    assert len({jaccard_join.set_names(s, again)[0] for s in sets} | again) == 4
+
+
 def test_jaccard_odd_rows(docs, pairs):
     got = jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()
     same(got, brute_components(pairs, 3, 90, 100))
