@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.fluent import Traversal
 from graphloom.functions.values import collect, count, greatest, least, mean, total
-from graphloom.model import EdgeTable, GraphError, NodeTable, PropertyGraph
+from graphloom.model import EdgeTable, GraphError, NodeTable, PropertyGraph, union
 from graphloom.operators import components, paths, ranking, schema
-from graphloom.operators.writes import Transaction
+from graphloom.operators.writes import Transaction, replay
 from graphloom.plans.match import guarded, hop, match, neighbours, node
 from graphloom.sources import files
 
@@ -185,6 +185,7 @@ def test_louvain(spark):
 def test_schema(people):
     assert {tuple(r) for r in schema.label_stats(people).collect()} == {("Person", 3), ("Document", 2)}
     types = {tuple(r) for r in schema.property_types(people).collect()}
+    assert [r["kind"] for r in schema.summary(people).collect()] == ["edge"] * 2 + ["label"] * 2 + ["property"] * 4
     assert ("Person", "name", "string", 3) in types and ("Document", "year", "number", 2) in types
     assert {tuple(r) for r in schema.edge_types(people).collect()} == {("WROTE", "Person", "Document", 2), ("KNOWS", "Person", "Person", 1)}
 
@@ -253,17 +254,167 @@ def test_random_graphs(spark):
             assert two.df.count() == sum(1 for _, _, b in near for _, a, _ in near if a == b)
 
 
+def _versions(spark, people, path, labels, start=1):
+    graph = people
+    for tx, label in enumerate(labels, start):
+        t = Transaction(graph)
+        t.create_nodes(label, spark.createDataFrame([(f"{label}{tx}",)], "name string"), "name")
+        graph = t.commit()
+        files.save(graph, path, tx, t.log)
+    return graph
+
+
 def test_feed(spark, tmp_path, people):
     from graphloom.streaming import feed
 
     path = f"file://{tmp_path}/v"
-    for tx, label in ((5, "City"), (6, "River")):
-        t = Transaction(people)
-        t.create_nodes(label, spark.createDataFrame([("x",)], "name string"), "name")
-        files.save(t.commit(), path, tx, t.log)
+    _versions(spark, people, path, ("City", "River"), 5)
+    got: list = []
+    stream = feed.subscribe(spark, path)
+    feed.deliver(stream, path, lambda b: got.extend(b.collect()), f"file://{tmp_path}/checkpoint", labels=("River",)).awaitTermination()
+    assert [(r["tx_id"], r["op"], r["name"], r["props"]) for r in got] == [(6, "createNode", "River", '{"name":"River6"}')]
+    with pytest.raises(GraphError, match="resync"):
+        feed.subscribe(spark, path, from_tx=2)
+    with pytest.raises(GraphError, match="committed already"):
+        files.save(people, path, 6)
+
+
+def test_failing_handler(spark, tmp_path, people):
+    """A batch whose handler fails is delivered again; other subscriptions go on."""
+    from graphloom.streaming import feed
+
+    path, checkpoint = f"file://{tmp_path}/v", f"file://{tmp_path}/checkpoint"
+    _versions(spark, people, path, ("City", "River"))
+
+    def fails(_):
+        raise ValueError("boom")
+
+    with pytest.raises(Exception, match="boom"):
+        feed.deliver(feed.subscribe(spark, path, per_trigger=1), path, fails, checkpoint).awaitTermination()
+    got: list = []
+    feed.deliver(feed.subscribe(spark, path, per_trigger=1), path, lambda b: got.append(sorted({r["tx_id"] for r in b.collect()})), checkpoint).awaitTermination()
+    assert sorted(got) == [[1], [2]]
+
+
+def test_crash_before_commit(spark, tmp_path, people, monkeypatch):
+    """What was written before a crash is seen by nobody, and the next attempt takes its place."""
+    from graphloom.streaming import feed
+
+    path = f"file://{tmp_path}/v"
+    graph = _versions(spark, people, path, ("City",))
+    t = Transaction(graph)
+    t.create_nodes("River", spark.createDataFrame([("x",)], "name string"), "name")
+
+    def crash(*_):
+        raise OSError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(files.json, "dumps", crash)
+        with pytest.raises(OSError):
+            files.save(t.commit(), path, 2, t.log)
+    assert files.versions(spark, path) == [1] and "River" not in files.load(spark, path).nodes
     got: list = []
-    stream = feed.subscribe(spark, f"{path}/ops")
-    feed.deliver(stream, lambda b: got.extend(b.collect()), f"file://{tmp_path}/checkpoint", labels=("River",)).awaitTermination()
-    assert [(r["tx_id"], r["op"], r["name"]) for r in got] == [(6, "createNode", "River")]
+    deliver = lambda name: feed.deliver(feed.subscribe(spark, path), path, lambda b: got.extend(r["tx_id"] for r in b.collect()), f"file://{tmp_path}/{name}").awaitTermination()
+    deliver("a")
+    assert got == [1]
+    files.save(t.commit(), path, 2, t.log)
+    deliver("a")
+    assert got == [1, 2] and files.load(spark, path).scan("River").count() == 1 and files.load(spark, path, 1).nodes.keys() == graph.nodes.keys()
+    files.retain(spark, path, 1)
+    assert files.versions(spark, path) == [2]
     with pytest.raises(GraphError, match="resync"):
-        feed.subscribe(spark, f"{path}/ops", from_tx=2)
+        feed.operations(spark, path, [1, 2])
+    with pytest.raises(GraphError, match="NOT_FOUND"):
+        files.load(spark, path, 1)
+
+
+def test_replay(spark, people):
+    """The log of a transaction, with creations, changes and deletions, makes the same graph of the old one."""
+    t = Transaction(people)
+    new = t.create_nodes("Person", spark.createDataFrame([("Grace", 1906), ("Alan", 1912)], "name string, born long"), "name")
+    t.create_edges("KNOWS", new.select(F.col("id").alias("src"), F.lit(3).cast("long").alias("dst"), F.lit(0.5).alias("since")))
+    t.set_props("Person", spark.createDataFrame([(3, None, [1.5])], "id long, born long, scores array<double>"))
+    t.delete_nodes("Person", spark.createDataFrame([(1,)], "id long"), detach=True)
+    after, again = t.commit(), replay(people, union(t.log))
+    for label in ("Person", "Document"):
+        columns = sorted(after.scan(label).columns)
+        assert sorted(map(str, after.scan(label).select(columns).collect())) == sorted(map(str, again.scan(label).select(columns).collect()))
+    for kind in ("KNOWS", "WROTE"):
+        columns = after.edges[kind].df.columns
+        assert sorted(map(str, after.edges[kind].df.collect())) == sorted(map(str, again.edges[kind].df.select(columns).collect()))
+
+
+def test_merge_paths(spark, people):
+    t = Transaction(people.with_index("unique", "Person", "name"))
+    rows = spark.createDataFrame([("Ada", "Sketch")], "who string, what string")
+    t.merge_path(rows, node("p", "Person", name=F.col("who")), hop("WROTE"), node("d", "Document", title=F.col("what")))
+    with pytest.raises(GraphError, match="CONSTRAINT_VIOLATION"):  # the whole path is created, a second Ada too
+        t.commit()
+    t = Transaction(people)
+    found = t.merge_path(match(people, node("p", "Person")).returns(lambda v: {"p": v.p.id}), node("d", "Document"), hop("WROTE", direction="in"), node("p", "Person"), on_create={"d.title": F.lit("untitled")}, on_match={"p.known": F.lit(True)})
+    assert {(r["p"], r["d"], r["created"]) for r in found.collect()} == {(1, 4, False), (2, 5, False), (3, 6, True)}
+    assert t.commit().check().count() == 0 and t.stats == {"created": 2, "deleted": 0, "props_set": 3}
+    names_ = t.bound(found, p="Person", d="Document").where(lambda v: v.p.known == True).returns(lambda v: {"t": v.d.title})  # noqa: E712
+    assert sorted(names(names_, "t")) == ["Notes on the Analytical Engine", "Sketch"]
+    with pytest.raises(GraphError, match="SEMANTIC_ERROR"):
+        t.merge_path(rows, node("p", "Person"), hop("WROTE", least=1, most=2), node("d", "Document"))
+
+
+def test_validation(spark, people):
+    t = Transaction(people)
+    for bad in ([(1, float("nan"))], [(1, float("inf"))]):
+        with pytest.raises(GraphError, match="VALIDATION"):
+            t.set_props("Person", spark.createDataFrame(bad, "id long, x double"))
+    with pytest.raises(GraphError, match="VALIDATION"):
+        t.create_nodes("Person", spark.createDataFrame([("a", [1.0, float("nan")])], "name string, x array<double>"), "name")
+    with pytest.raises(GraphError, match="VALIDATION"):
+        t.create_edges("", spark.createDataFrame([(1, 2)], "src long, dst long"))
+    with pytest.raises(GraphError, match="VALIDATION"):
+        t.create_nodes("", spark.createDataFrame([("a",)], "name string"), "name")
+    hub = spark.createDataFrame([(1, 2)] * 5, "src long, dst long")
+    assert sorted(r["id"] for r in t.create_edges("LIKES", hub).collect()) == [4, 5, 6, 7, 8]
+
+
+def test_limits_are_errors(spark):
+    g = simple(spark, 4, [(0, 1, "E"), (1, 3, "E"), (0, 2, "E"), (2, 3, "E"), (3, 3, "E"), (3, 0, "E")])
+    assert paths.all_shortest_paths(g, 0, 3, most=2).count() == 2
+    assert paths.all_shortest_paths(g, 0, 0).count() == 1
+    for f in (lambda: paths.all_shortest_paths(g, 0, 3, most=1), lambda: paths.cycles(g, limit=1), lambda: ranking.betweenness(g, guard=3)):
+        with pytest.raises(GraphError, match="ROW_LIMIT"):
+            f()
+    assert paths.cycles(g).count() == 2
+    assert ranking.betweenness(g, sample=2, guard=3).count() == 4
+
+
+def test_import_in_batches(spark, people):
+    nodes = spark.createDataFrame([(f"n{i:02}", ["A"], float(i)) for i in range(25)], "tempId string, labels array<string>, x double")
+    edges = spark.createDataFrame([(f"n{i:02}", "1", "E") for i in range(25)], "from string, to string, type string")
+    g, report = files.import_batches(people, nodes, edges, ["A"], ["E"], batch=10)
+    assert (report.nodes, report.edges, report.error) == (25, 25, None) and g.check().count() == 0
+    assert match(g, node("a", "A"), hop("E"), node("p", "Person", name="Ada")).df.count() == 25
+    bad = nodes.withColumn("x", F.when(F.col("tempId") == "n13", float("nan")).otherwise(F.col("x")))
+    g, report = files.import_batches(people, bad, edges, ["A"], ["E"], batch=10)
+    assert (report.nodes, report.edges, report.at, report.error) == (10, 0, ("nodes", 1), "a number is not finite") and g.scan("A").count() == 10
+    g, report = files.import_batches(people, nodes, edges.withColumn("to", F.when(F.col("from") == "n20", "99").otherwise("1")), ["A"], ["E"], batch=10)
+    assert (report.nodes, report.edges, report.at) == (25, 20, ("edges", 2)) and g.edge_frame("E").count() == 20
+
+
+def test_plans(spark):
+    """Hops read the tables that their types lead to, a schema scans a table once, and files are opened when used."""
+    from graphloom.sources.tables import table_graph
+
+    g = table_graph(spark, "/root/testdata/sf0.001")
+    read = lambda df: sorted({f.rsplit("/", 1)[-1].partition(".")[0] for f in df.inputFiles()})
+    assert read(Traversal.nodes(g, "Customer").out("PLACED").df) == ["customer", "orders"]
+    assert read(Traversal.nodes(g, "Purchase").out_edges("HAS_PART").to_node().df) == ["lineitem", "orders", "part"]
+    one = PropertyGraph({"Customer": g.nodes["Customer"]}, {})
+    assert schema.property_types(one)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert set(table_graph(spark, "/nowhere").nodes) == set(g.nodes)
+    t = Traversal.nodes(g, "Part").where(lambda r: (r.size > "4") | (r.missing == 1))
+    assert t.count() == 0 and Traversal.nodes(g, "Part").where(lambda r: ~(r.size == "4")).count() == Traversal.nodes(g, "Part").count()
+
+
+def test_csv_quotes(spark, tmp_path):
+    (tmp_path / "n.csv").write_text('tempId,:label,name:string,born:number,active:boolean\n1,Person|Author,"Ada, ""A""\nof two lines",1815,true\n2,Person,Bob,,\n')
+    rows = files.nodes_from_csv(files.read_csv(spark, f"file://{tmp_path}/n.csv")).collect()
+    assert [tuple(r) for r in rows] == [("1", ["Person", "Author"], 'Ada, "A"\nof two lines', 1815.0, True), ("2", ["Person"], "Bob", None, None)]
