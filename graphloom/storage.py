@@ -42,10 +42,13 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def drop_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Remove what materialize() wrote, once nothing reads it any more."""
     for df in frames:
-        spark = df.sparkSession
         for folder in {os.path.dirname(x) for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            drop_path(df.sparkSession, folder)
