@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import storage
-from graphloom.storage import drop_written, shared_dir
+from graphloom.storage import drop_path, drop_written, shared_dir
 
-__all__ = ["BATCH_BYTES", "drop_written", "keyed", "materialize", "rejoin", "shared_dir", "small_batches", "table"]
+__all__ = ["BATCH_BYTES", "drop_path", "drop_written", "keyed", "materialize", "rejoin", "shared_dir", "small_batches", "table"]
 
 #: Bytes of an Arrow batch. One row may be longer: texts are never cut.
 BATCH_BYTES = 4 << 20

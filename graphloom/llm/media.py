@@ -1,11 +1,11 @@
 """Media columns (8): a Spark data source for archives of media members.
 
-`ArchiveDataSource` ("media_archive") writes one zip archive for each task into a directory and
-lists the committed archives in a manifest, so files of failed or repeated attempts never count.
+`ArchiveDataSource` ("media_archive") writes zip archives of about 256 MB into a directory, each task its
+own, and lists the committed archives in a manifest, so files of failed or repeated attempts never count.
 Reading plans byte-range partitions over the archives: a partition owns the members whose local
 header begins in its range, finds them in the archive's directory, and streams them in Arrow
-batches. Every member is read on its own, by offset, checked against its CRC, and read again
-(`retries`) when that fails. Files are reached through pyarrow's file systems by URI.
+batches. Every member is read on its own, by offset, checked against its CRC, and when that fails read
+again (`retries`) through a new handle. Files are reached through pyarrow's file systems by URI.
 
 A document's payload is stored as an 8-bit greyscale PNG image of rows of 576 samples.
 
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from graphloom.llm.common import shared_dir, small_batches
+from graphloom.llm.common import drop_path, materialize, shared_dir, small_batches
 
 ROW = 576
 PAD = 255
@@ -94,41 +94,42 @@ class ByteRange(InputPartition):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, name: str | None, size: int, members: int):
-        self.name, self.size, self.members = name, size, members
+    def __init__(self, archives: list[tuple[str, int, int]]):
+        self.archives = archives  # name, size, members
 
 
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.archive_bytes = options["path"], int(options.get("archive_bytes", 256 << 20))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _fs(self.path)
         store.create_dir(root, recursive=True)
-        task = TaskContext.get()
-        name, members = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.zip", 0
-        with store.open_output_stream(f"{root}/{name}") as f:
-            with zipfile.ZipFile(_Counting(f), "w", zipfile.ZIP_STORED) as archive:
-                for batch in iterator:
-                    for doc_id, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                        archive.writestr(zipfile.ZipInfo(f"{members}_{'' if doc_id is None else doc_id}.png"), media)
-                        members += 1
-        if not members:
-            store.delete_file(f"{root}/{name}")
-            return Written(None, 0, 0)
-        return Written(name, store.get_file_info(f"{root}/{name}").size, members)
+        task, done = TaskContext.get(), []
+        rows = ((i, m) for b in iterator for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        row = next(rows, None)
+        while row is not None:  # one archive
+            name, members = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done)}.zip", 0
+            with store.open_output_stream(f"{root}/{name}") as f:
+                out = _Counting(f)
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    while row is not None and (not members or out.at < self.archive_bytes):
+                        archive.writestr(zipfile.ZipInfo(f"{members}_{'' if row[0] is None else row[0]}.png"), row[1])
+                        members, row = members + 1, next(rows, None)
+            done.append((name, out.at, members))
+        return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _fs(self.path)
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps([[m.name, m.size, m.members] for m in messages if m and m.name]).encode())
+            f.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = _fs(self.path)
         for m in messages:
-            if m and m.name:
-                store.delete_file(f"{root}/{m.name}")
+            for name, *_ in m.archives if m else ():
+                store.delete_file(f"{root}/{name}")
 
 
 class _Counting(io.RawIOBase):
@@ -167,12 +168,14 @@ class ArchiveReader(DataSourceReader):
         if partition is None:  # no archives, so no ranges
             return
         store, root = _fs(self.path)
+        name = f"{root}/{partition.name}"
+        with store.open_input_file(name) as f, zipfile.ZipFile(f) as archive:
+            members = [m for m in archive.infolist() if partition.begin <= m.header_offset < partition.end]
         ids, media, held = [], [], 0
-        with store.open_input_file(f"{root}/{partition.name}") as f, zipfile.ZipFile(f) as archive:
-            for member in archive.infolist():
-                if not partition.begin <= member.header_offset < partition.end:
-                    continue
-                data = self._member(archive, member)
+        source = Archive(store, name)
+        try:
+            for member in members:
+                data = self._member(source, member)
                 doc_id = member.filename.partition("_")[2].removesuffix(".png")
                 ids.append(int(doc_id) if doc_id else None)
                 media.append(data)
@@ -180,25 +183,52 @@ class ArchiveReader(DataSourceReader):
                 if held >= self.batch_bytes:
                     yield _batch(ids, media)
                     ids, media, held = [], [], 0
+        finally:
+            source.close()
         if ids:
             yield _batch(ids, media)
 
-    def _member(self, archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> bytes:
+    def _member(self, source: Archive, member: zipfile.ZipInfo) -> bytes:
         for attempt in range(self.retries + 1):
             try:
-                return archive.read(member)  # checks the CRC
-            except (OSError, zipfile.BadZipFile):
+                return source.read(member)
+            except (OSError, ValueError):
                 if attempt == self.retries:
                     raise
+                source.close()  # the next attempt opens it anew
         raise AssertionError
 
 
+class Archive:
+    """Members of an archive by offset: a local header of 30 bytes, a name, extra bytes, the data."""
+
+    def __init__(self, store, name: str):
+        self.store, self.name, self.file = store, name, None
+
+    def read(self, member: zipfile.ZipInfo) -> bytes:
+        if self.file is None:
+            self.file = self.store.open_input_file(self.name)
+        head = self.file.read_at(30, member.header_offset)
+        if head[:4] != b"PK\x03\x04":
+            raise ValueError(f"no member at {member.header_offset} of {self.name}")
+        name, extra = struct.unpack_from("<HH", head, 26)
+        data = self.file.read_at(member.compress_size, member.header_offset + 30 + name + extra)
+        if zlib.crc32(data) != member.CRC:
+            raise ValueError(f"damaged member at {member.header_offset} of {self.name}")
+        return data
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.file = None
+
+
 def _batch(ids: list, media: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
 
 class ArchiveDataSource(DataSource):
-    """options: path, range_bytes (of a partition), batch_bytes (of an Arrow batch), retries (of a member)."""
+    """options: path, archive_bytes (from which on a task begins another archive), range_bytes (of a partition), batch_bytes (of an Arrow batch), retries (of a member)."""
 
     @classmethod
     def name(cls) -> str:
@@ -232,9 +262,10 @@ def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def media_features(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Write archives, read them back and describe what was read."""
-    path = path or shared_dir(docs.sparkSession)
-    write_archives(docs, path)
+    """Write archives, read them back and describe what was read. Without a path they are removed afterwards."""
+    spark = docs.sparkSession
+    own = None if path else shared_dir(spark)
+    write_archives(docs, path or own)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,4 +279,8 @@ def media_features(docs: DataFrame, path: str | None = None) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].astype("Int64"))
             yield out
 
-    return read_archives(docs.sparkSession, path).mapInPandas(run, schema)
+    found = read_archives(spark, path or own).mapInPandas(run, schema)
+    if own:
+        found = materialize(found)
+        drop_path(spark, own)
+    return found

@@ -397,27 +397,41 @@ def test_media(spark, docs, pairs, tmp_path):
         media.from_png(bytes(damaged))
 
 
-def test_member_is_read_again():
-    """A member that fails is read again on its own."""
-    f = io.BytesIO()
-    with zipfile.ZipFile(f, "w") as z:
+def test_member_is_read_again(tmp_path):
+    """A member that fails is read again on its own, through a new handle."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("0_1.png", b"data")
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        member = z.infolist()[0]
     reader = media.ArchiveReader({"path": "", "retries": 2})
 
-    class Flaky(zipfile.ZipFile):
-        left = 2
-
-        def read(self, *a, **b):
-            if self.left:
-                self.left -= 1
-                raise OSError("lost")
-            return super().read(*a, **b)
-
-    with Flaky(f) as z:
-        assert reader._member(z, z.infolist()[0]) == b"data"
-        z.left = 5
-        with pytest.raises(OSError):
-            reader._member(z, z.infolist()[0])
+    class Store:
+        """Each handle is lost at its first read until `left` of them are gone."""
+
+        def __init__(self, left):
+            self.left, self.opened = left, 0
+
+        def open_input_file(self, name):
+            self.opened += 1
+            self.left -= 1
+            lost = self.left >= 0
+
+            class Handle(io.FileIO):
+                def read_at(self, n, at):
+                    if lost:
+                        raise OSError("lost")
+                    self.seek(at)
+                    return self.read(n)
+
+            return Handle(name)
+
+    store = Store(2)
+    assert reader._member(media.Archive(store, str(tmp_path / "a.zip")), member) == b"data" and store.opened == 3
+    with pytest.raises(OSError):
+        reader._member(media.Archive(Store(5), str(tmp_path / "a.zip")), member)
+    member.CRC ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        reader._member(media.Archive(Store(0), str(tmp_path / "a.zip")), member)
 
 
 def test_html_extract(spark):
