@@ -1,7 +1,8 @@
 """The corpus pipeline: STAGES over documents, each one an operator of graphloom.llm.
 
 Every stage takes (spark, docs, sf_dir); docs is what its predecessor kept. Rows are identified by
-doc_id and text, so nulls and repeated rows pass through as the operators define them.
+doc_id and text, so nulls and repeated rows pass through as the operators define them. Columns of any
+name stay as they are; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard_join, language_id, packing, pii, suffix_dedup
-from graphloom.storage import materialize
+from graphloom.storage import drop_written, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = materialize(stage(spark, docs, sf_dir), release=True)
+        # What this stage read is read no more.
+        drop_written(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
