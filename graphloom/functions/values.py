@@ -127,6 +127,8 @@ def value(x: object) -> Value:
     """A value as it is, or a Python literal."""
     if isinstance(x, Value):
         return x
+    if isinstance(x, Aggregate):
+        raise GraphError("SEMANTIC_ERROR", "an aggregate stands in returns() only")
     if x is None:
         return Value(F.lit(None), NULL)
     if isinstance(x, bool):
@@ -151,13 +153,22 @@ def column(col: Column, t: T.DataType) -> Value:
 
 @dataclass(frozen=True)
 class Aggregate:
+    """What an aggregate gives; it stands for itself in returns(), not inside other expressions or aggregates."""
+
     col: Column
 
+    def __getattr__(self, name: str):
+        if name in ("kind", "filter", "true", "inner", "literal"):
+            raise GraphError("SEMANTIC_ERROR", "an aggregate stands in returns() only, and not in another one")
+        raise AttributeError(name)
+
 
 def count(x: Value | None = None, distinct: bool = False) -> Aggregate:
     """Rows, or non-null values."""
     if x is None:
         return Aggregate(F.count(F.lit(1)))
+    if isinstance(x, Aggregate):
+        raise GraphError("SEMANTIC_ERROR", "an aggregate of an aggregate")
     return Aggregate(F.count_distinct(x.col) if distinct else F.count(x.col))
 
 

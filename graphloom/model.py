@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -98,6 +98,17 @@ class PropertyGraph:
             return some.select("id", F.lit("").alias("type"), "src", "dst").filter(F.lit(False))
         return union(frames)
 
+    def node(self, node_id: int) -> Row | None:
+        return self.scan().filter(F.col("id") == node_id).first()
+
+    def edge(self, kind: str, edge_id: int) -> Row | None:
+        return self.edges[kind].df.filter(F.col("id") == edge_id).first() if kind in self.edges else None
+
+    def stats(self) -> DataFrame:
+        """kind (node or edge), name of the table, n."""
+        parts = [(k, n, t.df) for k, tables in (("node", self.nodes), ("edge", self.edges)) for n, t in tables.items()]
+        return union([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), F.lit(n).alias("name"), "n") for k, n, df in parts])
+
     def with_index(self, kind: str, label: str, prop: str) -> PropertyGraph:
         new = Index(kind, label, prop)
         if new in self.indexes:

@@ -108,7 +108,10 @@ class Match:
     bound: frozenset[str] = field(default_factory=frozenset)
 
     def where(self, condition: Expr) -> Match:
-        return Match(self.graph, self.df.filter(condition(Bound(self.df)).filter()), self.bound)
+        test = condition(Bound(self.df))
+        if isinstance(test, Aggregate):
+            raise GraphError("SEMANTIC_ERROR", "an aggregate stands in returns() only")
+        return Match(self.graph, self.df.filter(value(test).filter()), self.bound)
 
     def path(self, *parts: NodePattern | HopPattern) -> Match:
         """One more path: it continues from its first bound node, or else is a product with it."""

@@ -63,6 +63,19 @@ def all_nodes_by_label(g):
     return g.scan().select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'node' AS kind, 'Nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'node', 'Customer', count(*) FROM customer UNION ALL SELECT 'edge', 'LIVES_IN', count(*) FROM customer UNION ALL SELECT 'edge', 'FULFILLED_BY', count(*) FROM lineitem")
+def graph_stats(g):
+    return _only(g, ("Nation", "Customer"), ("LIVES_IN", "FULFILLED_BY")).stats()
+
+
+@query("SELECT c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 11")
+def direct_lookup(g):
+    """A node by its id, its edge by type and id, and the node at the other end."""
+    customer = g.scan("Customer").filter(F.col("id") % SHIFT == 11).first()["id"]
+    g = _only(g, ("Customer", "Nation"), ("LIVES_IN",))
+    return _spark().createDataFrame([(g.node(customer)["name"], g.node(g.edge("LIVES_IN", 11)["dst"])["name"])], "name string, nation string")
+
+
 @query("SELECT c_custkey AS key, c_name AS name FROM customer")
 def label_scan(g):
     return match(g, node("c", "Customer")).returns(lambda v: {"key": _key(v.c.id), "name": v.c.name})

@@ -76,6 +76,9 @@ def test_aggregates(spark):
     assert tuple(rows[0]) == ("math", 70, 14.0, 5, 30)
     one = m.returns(lambda v: {"n": count(), "d": count(v.d.pages, distinct=True), "all": collect(v.d.pages)}).first()
     assert tuple(one) == (6, 5, [5, 5, 10, 20, 30, 100])
+    for misplaced in (lambda: m.where(lambda v: count(v.d.pages)), lambda: m.where(lambda v: v.d.pages > count()), lambda: m.returns(lambda v: {"n": total(count())})):
+        with pytest.raises(GraphError, match="SEMANTIC_ERROR"):
+            misplaced()
     none = m.where(lambda v: v.d.pages > 1000)
     assert tuple(none.returns(lambda v: {"n": count(), "s": total(v.d.pages)}).first()) == (0, 0)
     assert none.returns(lambda v: {"f": v.p.field, "n": count()}).count() == 0
