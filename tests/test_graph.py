@@ -421,3 +421,14 @@ def test_csv_quotes(spark, tmp_path):
     (tmp_path / "n.csv").write_text('tempId,:label,name:string,born:number,active:boolean\n1,Person|Author,"Ada, ""A""\nof two lines",1815,true\n2,Person,Bob,,\n')
     rows = files.nodes_from_csv(files.read_csv(spark, f"file://{tmp_path}/n.csv")).collect()
     assert [tuple(r) for r in rows] == [("1", ["Person", "Author"], 'Ada, "A"\nof two lines', 1815.0, True), ("2", ["Person"], "Bob", None, None)]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from graphloom.storage import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
