@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.fluent import Traversal
 from graphloom.functions.values import Value, collect, count, greatest, least, mean, total
 from graphloom.model import EdgeTable, NodeTable, PropertyGraph, union
-from graphloom.operators import components, paths, ranking, schema, shape
+from graphloom.operators import components, fulltext, paths, ranking, schema, shape
 from graphloom.operators.writes import Transaction, replay
 from graphloom.plans.match import guarded, hop, match, neighbours, node
 from graphloom.sources import files
@@ -511,6 +511,12 @@ def f_fulltext_prefix(g):
     return Traversal.search(g, "Document", "text", "the erti", prefix=True).df.select((F.col("id") % SHIFT).alias("key"))
 
 
+@query("SELECT token, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY 1")
+def token_lists(g):
+    """How many documents each token of the inverted list leads to."""
+    return fulltext.token_table(g.scan("Document"), "text").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT count(*) AS n, round(sum(c_acctbal), 2) AS total, max(c_acctbal) AS most FROM customer")
 def f_agg(g):
     return Traversal.nodes(g, "Customer").agg(n=F.count(F.lit(1)), total=F.round(F.sum("acctbal"), 2), most=F.max("acctbal"))
@@ -734,6 +740,12 @@ def display_labels(g):
     return found.select(shape.display_label(found).alias("label"))
 
 
+@query("SELECT n_nationkey AS key, 25 AS total FROM nation WHERE n_nationkey < 7")
+def render_cap(g):
+    shown, n = shape.capped(g.scan("Nation"), 7)
+    return shown.select((F.col("id") % SHIFT).cast("int").alias("key"), F.lit(n).alias("total"))
+
+
 @query("SELECT 20000 AS edges, true AS skewed")
 def synthetic_graph(g):
     from graphloom.sources.datasets import synthetic

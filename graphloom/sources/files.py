@@ -217,8 +217,10 @@ def save(graph: PropertyGraph, path: str, version: int, ops: list[DataFrame] = (
             t.df.write.mode("overwrite").parquet(f"{base}/{kind}/{t_name}")
     if ops:
         union(list(ops)).withColumn("tx_id", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{base}/ops")
+    before = [v for v in versions(spark, path) if v < version]
     manifest = {
         "version": version,
+        "after": before[-1] if before else None,
         "nodes": {n: [t.labels, t.optional] for n, t in graph.nodes.items()},
         "edges": {n: [t.src_label, t.dst_label] for n, t in graph.edges.items()},
         "indexes": sorted([i.kind, i.label, i.property] for i in graph.indexes),

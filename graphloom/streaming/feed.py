@@ -21,15 +21,15 @@ SCHEMA = f"{OPS}, tx_id long"
 
 
 def subscribe(spark: SparkSession, path: str, from_tx: int = 0, per_trigger: int | None = None) -> DataFrame:
-    """A stream of commits (tx_id, ops) from a transaction on, at most per_trigger a micro-batch. A
-    cursor older than what is kept is an error."""
+    """A stream of commits (tx_id, ops, after: the commit before) from a transaction on, at most per_trigger
+    a micro-batch. A cursor older than what is kept is an error."""
     kept = versions(spark, path)
     if kept and 0 < from_tx < kept[0]:
         raise GraphError("NOT_FOUND", f"resync required: kept from {kept[0]}, asked for {from_tx}")
-    reader = spark.readStream.schema("version long, ops boolean")
+    reader = spark.readStream.schema("version long, ops boolean, after long")
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    commits = reader.json(f"{path}/commits").select(F.col("version").alias("tx_id"), "ops")
+    commits = reader.json(f"{path}/commits").select(F.col("version").alias("tx_id"), "ops", "after")
     return commits.filter(F.col("tx_id") >= from_tx)
 
 
@@ -55,11 +55,19 @@ def deliver(
     """Hand the operations of each micro-batch of subscribe() to a handler; by default up to what is there now.
 
     A handler that fails ends its own subscription, not others. Its batch does not count as delivered:
-    the same checkpoint starts with it again."""
+    the same checkpoint starts with it again. A subscription that falls behind what is kept ends with an error,
+    as the commits in between are lost to it."""
+    last: list[int] = []
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        tx_ids = sorted(r["tx_id"] for r in batch.filter("ops").select("tx_id").collect())  # one row a transaction
+        commits = sorted(map(tuple, batch.select("tx_id", "ops", "after").collect()))  # one row a transaction
+        for tx_id, _, after in commits:
+            if last and after is not None and after > last[-1]:
+                raise GraphError("NOT_FOUND", f"resync required: {after} is kept no more")
+            last.append(tx_id)
+        del last[:-1]
+        tx_ids = [tx_id for tx_id, ops, _ in commits if ops]
         if tx_ids:
             found = wanted(operations(spark, path, tx_ids), labels, types)
             if not found.isEmpty():

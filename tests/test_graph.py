@@ -323,14 +323,45 @@ def test_crash_before_commit(spark, tmp_path, people, monkeypatch):
     files.save(t.commit(), path, 2, t.log)
     deliver("a")
     assert got == [1, 2] and files.load(spark, path).scan("River").count() == 1 and files.load(spark, path, 1).nodes.keys() == graph.nodes.keys()
+    files.save(graph, path, 3, t.log)
     files.retain(spark, path, 1)
-    assert files.versions(spark, path) == [2]
+    assert files.versions(spark, path) == [3]
     with pytest.raises(GraphError, match="resync"):
         feed.operations(spark, path, [1, 2])
     with pytest.raises(GraphError, match="NOT_FOUND"):
         files.load(spark, path, 1)
 
 
+def test_reader_behind(spark, tmp_path, people):
+    """A subscription ends with an error if a commit between two of its batches is kept no more."""
+    import json
+    from types import SimpleNamespace
+
+    from graphloom.streaming import feed
+
+    held = {}
+
+    class Writer:  # takes the function of a micro-batch, so that batches can be handed to it here
+        def foreachBatch(self, f):
+            held["f"] = f
+            return self
+
+        option = trigger = lambda self, *a, **k: self
+        start = lambda self: None
+
+    path = f"file://{tmp_path}/v"
+    _versions(spark, people, path, ("A", "B", "C"))
+    feed.deliver(SimpleNamespace(writeStream=Writer()), path, lambda b: b.count(), "")
+    commits = [json.loads((tmp_path / "v" / "commits" / f"{i:012d}.json").read_text()) for i in (1, 2, 3)]
+    batch = lambda m: spark.createDataFrame([(m["version"], m["ops"], m["after"])], "tx_id long, ops boolean, after long")
+    held["f"](batch(commits[0]), 0)
+    with pytest.raises(GraphError, match="resync"):
+        held["f"](batch(commits[2]), 1)
+    feed.deliver(SimpleNamespace(writeStream=Writer()), path, lambda b: b.count(), "")
+    for i, m in enumerate(commits):
+        held["f"](batch(m), i)
+
+
 def test_replay(spark, people):
     """The log of a transaction, with creations, changes and deletions, makes the same graph of the old one."""
     t = Transaction(people)
