@@ -7,8 +7,8 @@ corpus (Sanchez, Batet, Viejo 2013): a term t discloses the value e in proportio
 
 counted over all documents. Protected are the values themselves and the class that a value belongs
 to: the domain of an address, the network of an IP number, the issuer of a card, the area of a phone
-number (PARTS), as who gives a class away narrows the value down. From `generalise` on, a term beside e is replaced by its class; from
-`remove` on it is taken out. All values and pairs are scored. p(t | e) is not n(t, e) / n(e) but the
+number (PARTS), as who gives a class away narrows the value down. From `generalise` on, a term beside
+e is replaced by its class; from `remove` on it is taken out. All values and pairs are scored. p(t | e) is not n(t, e) / n(e) but the
 lower end of its Wilson interval over the different texts that have e (CONFIDENCE), so that one
 or two texts weigh what they can prove, and exact copies of a text prove no more than the text.
 A value of every document has no information (IC = 0), and nothing discloses it.
@@ -19,8 +19,9 @@ of the text first. The patterns are those of the contract, written so that no ru
 is scanned twice: possessive, and starting where a run starts or the last match ended.
 
 Every word of at least `shortest` letters or digits is a term (three by default, as shorter ones
-are function words in most languages; 1 takes all). Of one text, values and classes that other texts have
-too meet all of its words, so a text with v of them and w words makes v * w rows, all of one text.
+are function words in most languages; 1 takes all). Of one text, the values and classes that other
+texts have too meet those of its words that other texts have too and that could disclose them: at most
+their product of rows, all of one text.
 
 Defined results: null text is the empty text; rows that are equal give equal results; spans that
 begin at one place are listed by kind; very long texts are read whole; an empty table gives no rows;
@@ -146,30 +147,45 @@ def _lower(k: Column, m: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float, shortest: int = 3) -> DataFrame:
-    """id, h, disclosed: for each row the terms that disclose one of its values, with the ratio."""
+    """id, h, disclosed: for each row the terms that disclose one of its values, with the ratio.
+
+    Where the value is one text's or the term is, both are together in that text: the row alone gives the
+    ratio. Of the other pairs those go to be counted that would reach `generalise` if the rarer of the two
+    never came without the other; a pair that would not cannot reach it with its true count."""
     some = base.filter("terms is not null")
     values = materialize(some.select("id", "h", F.explode(F.array_distinct(F.flatten(F.transform("spans", _protected)))).alias("value")))
     per_value = values.groupBy("value", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.sum("n").alias("n_value"), F.count(F.lit(1)).alias("texts"))
     # All values that only one text has score alike there, so "" stands for them.
     scored = F.when(F.col("texts") == 1, F.lit("")).otherwise(F.col("value")).alias("value")
     lists = values.join(per_value, "value").groupBy("id", "h").agg(F.collect_set(F.struct(scored, "n_value", "texts")).alias("values"))
-    pairs = some.select("id", "h", "terms").dropDuplicates(["id", "h"]).join(lists, ["id", "h"]).select("id", "h", "terms", F.explode("values").alias("v"))
-    pairs = materialize(pairs.select("id", "h", "v.*", F.explode("terms").alias("term")))
-    once, more = pairs.filter("texts = 1"), pairs.filter("texts > 1")
-    joint = more.select("value", "term", "h", "n_value", "texts").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("k"), F.first("n_value").alias("n_value"), F.first("texts").alias("texts"))
-    wanted = materialize(pairs.select("term").distinct())
+    # One row stands for the copies of a text.
+    one = values.groupBy("h").agg(F.min("id").alias("one"))
+    lists = materialize(lists.join(one, "h").select("id", "h", "values", (F.col("id") == F.col("one")).alias("first")))
+
+    terms = some.select("id", "h", "terms").dropDuplicates(["id", "h"]).select("id", "h", F.explode("terms").alias("term"))
+    wanted = materialize(terms.select("term").distinct())
     words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")), shortest)).alias("term"))
     # Counted before the join: each task sends a term once, and the join sees no repeated terms (a semi join would be pushed below the count).
-    n_term = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_small(wanted), "term"))
+    n_term = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_small(wanted), "term"), release=True)
     n = docs.count()
-    ratio = F.try_divide(F.log(F.lit(n) * _lower(F.col("k"), F.col("texts")) / F.col("n_term")), F.log(F.lit(n) / F.col("n_value")))
-    strong = lambda df: df.join(_small(n_term), "term").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise)
-    found = strong(once.withColumn("k", F.lit(1))).select("id", "h", "term", "ratio")
-    found = found.unionByName(more.join(strong(joint).select("value", "term", "ratio"), ["value", "term"]).select("id", "h", "term", "ratio"))
+    ratio = lambda k, v, t: F.try_divide(F.log(F.lit(n) * _lower(k, v["texts"]) / t["n_term"]), F.log(F.lit(n) / v["n_value"]))
+    counted = terms.join(_small(n_term), "term").groupBy("id", "h").agg(F.collect_list(F.struct("term", "n_term")).alias("terms"))
+    rows = materialize(counted.join(lists, ["id", "h"]), release=True)
+    alone = lambda v, t: (v["texts"] == 1) | (t["n_term"] == 1)
+    best = lambda t: F.array_max(F.transform(F.filter("values", lambda v: alone(v, t)), lambda v: ratio(F.lit(1), v, t)))
+    sure = rows.select("id", "h", F.explode(F.filter(F.transform("terms", lambda t: F.struct(t["term"].alias("term"), best(t).alias("ratio"))), lambda x: x["ratio"] >= generalise)).alias("x")).select("id", "h", "x.*")
+    pairs = rows.select("id", "h", "first", "terms", F.explode(F.filter("values", lambda v: v["texts"] > 1)).alias("v"))
+    at_most = lambda t: ratio(F.least(F.col("v.texts"), t["n_term"]), F.col("v"), t)
+    pairs = pairs.select("id", "h", "first", "v.*", F.explode(F.filter("terms", lambda t: (t["n_term"] > 1) & (at_most(t) >= generalise))).alias("t"))
+    pairs = materialize(pairs.select("id", "h", "first", "value", "n_value", "texts", "t.*"))
+    joint = pairs.filter("first").groupBy("value", "term").agg(F.count(F.lit(1)).alias("k"), *(F.first(c).alias(c) for c in ("n_value", "texts", "n_term")))
+    joint = joint.select("value", "term", ratio(F.col("k"), {"texts": F.col("texts"), "n_value": F.col("n_value")}, {"n_term": F.col("n_term")}).alias("ratio"))
+    strong = materialize(joint.filter(F.col("ratio") >= generalise))
+    found = sure.unionByName(pairs.join(_small(strong), ["value", "term"]).select("id", "h", "term", "ratio"))
     # Dealt by row once, for both of the next steps.
     found = found.repartition("id", "h").groupBy("id", "h", "term").agg(F.max("ratio").alias("ratio"))
-    found = materialize(found.groupBy("id", "h").agg(F.collect_list(F.struct("term", "ratio")).alias("disclosed")))
-    drop_written(values, pairs, wanted, n_term)
+    found = materialize(found.groupBy("id", "h").agg(F.collect_list(F.struct("term", "ratio")).alias("disclosed")), release=True)
+    drop_written(values, lists, wanted, n_term, rows, pairs, strong)
     return found
 
 
