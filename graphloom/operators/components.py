@@ -102,7 +102,7 @@ def _move(edges: DataFrame, two_m: float, max_rounds: int) -> DataFrame:
     quiet = 0
     for i in range(max_rounds):
         total = part.groupBy("c").agg(F.sum("k").alias("total"))
-        links = near.join(part.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst").groupBy("node", "to").agg(F.sum("w").alias("w"))
+        links = near.join(part.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst").select("node", "to", "w")
         own = part.select("node", F.col("c").alias("to"), F.lit(0.0).alias("w"))
         options = links.unionByName(own).groupBy("node", "to").agg(F.sum("w").alias("w")).join(total.withColumnRenamed("c", "to"), "to").join(part, "node")
         rest = F.col("total") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
