@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom import storage
-from graphloom.storage import drop_path, drop_written, shared_dir
+from graphloom.storage import drop_path, drop_written, materialize, shared_dir
 
 __all__ = ["BATCH_BYTES", "drop_path", "drop_written", "keyed", "materialize", "rejoin", "shared_dir", "small_batches", "table"]
 
@@ -19,11 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """storage.materialize() for tables of the size of the corpus."""
-    return storage.materialize(df, release=True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, so that whole long texts fit in a worker's memory. All operators
     want the same bound, and one that is tighter already stays."""

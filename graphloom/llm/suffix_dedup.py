@@ -151,7 +151,7 @@ def _several(rows: DataFrame, *ranks: str) -> DataFrame:
 def _rerank(rows: DataFrame, outer: str, inner: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Pairs of ranks that occur again; one example row of each pair that stays open: the pairs whose
     outer rank occurs with other inner ranks too; and the tables that both read."""
-    pairs = materialize(rows.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "at")).alias("row")))
+    pairs = materialize(rows.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "at")).alias("row")), release=True)
     several = _several(pairs, outer)
     return pairs.filter("n > 1").select(outer, inner), pairs.join(several, outer, "left_semi").select(outer, "row.*"), [pairs, several]
 
@@ -231,13 +231,13 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     slim = rows.select("id", "h", "text")
     anchors = materialize(_anchors(slim.filter(F.octet_length("text") >= t), t, gram))
     again = _several(anchors, "gram")
-    shared = materialize(anchors.join(again, "gram", "left_semi"))
+    shared = materialize(anchors.join(again, "gram", "left_semi"), release=True)
     drop_written(anchors, again)
     equal, open_, old = _rerank(shared, "gram", "block")
     blocks = materialize(_cut_blocks(slim, open_, t))
-    pieces = materialize(_steps(blocks, t, step))
+    pieces = materialize(_steps(blocks, t, step), release=True)
     equal_pieces, open_pieces, old_pieces = _rerank(pieces, "core", "full")
-    windows = materialize(_windows(open_pieces, blocks, t, step))
+    windows = materialize(_windows(open_pieces, blocks, t, step), release=True)
     same = _several(windows, "core", "w")
     repeated = windows.join(same, ["core", "w"], "left_semi")
 
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, gram: int = 32, step:
     single = repeated.select("id", "h", F.col("p").alias("s"), (F.col("p") + t).alias("e"))
     spans = whole_blocks.unionByName(whole_pieces).unionByName(single)
     # A set, so that a row repeated any number of times has the spans of one.
-    spans = materialize(spans.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    spans = materialize(spans.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans")), release=True)
     drop_written(shared, blocks, pieces, windows, same, *old, *old_pieces)
     return rows.join(spans, ["id", "h"], "left")
 
