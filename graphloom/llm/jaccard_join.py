@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import drop_written, keyed, materialize, rejoin, small_batches
 from graphloom.llm.suffix_dedup import _BYTE, mix
 from graphloom.operators.connected import connected_components
+from graphloom.storage import materialize_counted
 
 TILE = 128
 BLOCK = 512
@@ -369,7 +370,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         scanned = materialize(_scan(texts, size, num, den, again))
         rows = scanned.drop("prefix", "u2")
         sets = scanned.filter("n > 0").groupBy("u").agg(F.min("n").alias("n"), F.min(F.struct("n", "u2")).alias("lo"), F.max(F.struct("n", "u2")).alias("hi"), F.min("doc_id").alias("least"), F.min(F.struct("id", "h")).alias("row"))
-        sets = materialize(sets.select("u", "n", (F.col("lo") != F.col("hi")).alias("shared"), "least", "row.*"))
+        sets = materialize(sets.select("u", "n", (F.col("lo") != F.col("hi")).alias("shared"), "least", "row.*"), release=True)
         # Different sets share 64 bits once in 2^64 pairs: of a trillion documents some ten thousand.
         more = frozenset(r["u"] for r in sets.filter("shared").select("u").limit(SHARED + 1).collect())
         if not more:
@@ -384,24 +385,24 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     entries = materialize(_prefixes(texts, size, num, den, last, again))
     # Written, so that both sides of the join come from a plain shuffle, which Spark can split at a hot shingle.
     shared = materialize(entries.groupBy("token").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("token"))
-    entries2 = materialize(entries.join(shared, "token", "left_semi").distinct().join(sets.select("u", "n"), "u"))
+    entries2 = materialize(entries.join(shared, "token", "left_semi").distinct().join(sets.select("u", "n"), "u"), release=True)
     drop_written(entries, shared)
 
     # Written for the same reason, like the other sides of joins with hot tokens and components below.
     tile_size = materialize(entries2.groupBy("token").agg(F.count(F.lit(1)).alias("m")))
     small = entries2.join(tile_size.filter(F.col("m") <= TILE).select("token"), "token", "left_semi")
     band = F.floor(F.log("n") / float(-np.log(num / den))).alias("band")
-    large = entries2.join(tile_size.filter(F.col("m") > TILE).select("token"), "token", "left_semi").select("token", "u", band)
+    large = materialize(entries2.join(tile_size.filter(F.col("m") > TILE).select("token"), "token", "left_semi").select("token", "u", band), release=True)
     leaders = materialize(large.groupBy("token", "band").agg(F.min("u").alias("w")))
     near = leaders.unionByName(leaders.withColumn("band", F.col("band") - 1))
     star = large.join(near, ["token", "band"]).select(F.col("u").alias("v"), "w").filter("v <> w")
-    pairs = materialize(_candidates(small, num, den))
+    pairs = materialize(_candidates(small, num, den), release=True)
     coarse = materialize(connected_components(star.distinct()).withColumnRenamed("node", "u"))
-    drop_written(entries2, tile_size, leaders)
+    drop_written(entries2, tile_size, large, leaders)
 
     # The texts and signatures of nodes that have any candidate.
     used = pairs.select(F.col("v").alias("u")).unionByName(pairs.select(F.col("w").alias("u"))).unionByName(coarse.select("u")).distinct().join(sets.select("u", "id", "h"), "u")
-    nodes = materialize(texts.select("id", "h", "text").join(used, ["id", "h"]).dropDuplicates(["u"]).select("u", "text"))
+    nodes = materialize(texts.select("id", "h", "text").join(used, ["id", "h"]).dropDuplicates(["u"]).select("u", "text"), release=True)
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -409,7 +410,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
             yield pd.DataFrame({"u": b["u"], "n": np.array([len(x) for x in found], dtype="int64"), "bitmap": list(map(bitmap, found))})
 
     maps = materialize(nodes.mapInPandas(signatures, "u long, n long, bitmap binary"))
-    pairs = materialize(_bounded(pairs, maps, num, den))
+    pairs = materialize(_bounded(pairs, maps, num, den), release=True)
 
     # Blocks of a component: each with the first one.
     count = materialize(coarse.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
@@ -419,24 +420,28 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     # Nodes of block k > 0 are first too: pairs inside the block count as well.
     groups = groups.select("component", "block", "u", "text", F.lit(True).alias("first"), F.col("u").alias("label"))
     n_groups = count.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    links = materialize(_verify(groups, ["component", "block"], n_groups, size, num, den))
+    links = materialize(_verify(groups, ["component", "block"], n_groups, size, num, den), release=True)
     found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
 
     # What is still apart in a component of several blocks.
     split = placed.filter("blocks > 1").join(found, "u", "left").withColumn("label", F.coalesce("label", "u")).select("component", "u", "label", "text")
     sizes = split.groupBy("component", "label").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("component").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("component", F.col("top.label").alias("main"))
-    rest = materialize(split.join(materialize(main), "component").withColumn("apart", F.col("label") != F.col("main")).drop("main"))
-    if not rest.isEmpty():
+    rest, n_rest = materialize_counted(split.join(materialize(main), "component").withColumn("apart", F.col("label") != F.col("main")).drop("main"))
+    if n_rest:
         rare, more = _rest(rest, size, num, den)
         pairs = pairs.unionByName(_bounded(rare, maps, num, den)).distinct()
         links = links.unionByName(more)
         found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
-    # Pairs of small tiles that are not connected yet.
+    # Pairs of small tiles that are not connected yet: their links join labels, far fewer than nodes.
     label = lambda k: found.select(F.col("u").alias(k), F.col("label").alias(f"label_{k}"))
-    pairs = pairs.join(label("v"), "v", "left").join(label("w"), "w", "left").filter(F.coalesce("label_v", "v") != F.coalesce("label_w", "w")).select("v", "w")
-    links = materialize(links.unionByName(_verify_pairs(pairs, nodes, size, num, den)))
-    found = materialize(connected_components(links).withColumnRenamed("node", "u").withColumnRenamed("component", "label"))
+    pairs = pairs.join(label("v"), "v", "left").join(label("w"), "w", "left").filter(F.coalesce("label_v", "v") != F.coalesce("label_w", "w"))
+    pairs = materialize(pairs.select("v", "w", F.coalesce("label_v", "v").alias("label_v"), F.coalesce("label_w", "w").alias("label_w")))
+    more = materialize(_verify_pairs(pairs, nodes, size, num, den).join(pairs, ["v", "w"]).select("label_v", "label_w").distinct())
+    joined = materialize(connected_components(more).select(F.col("node").alias("label"), "component"))
+    # A node without links before is its own label.
+    found = found.unionByName(joined.select(F.col("label").alias("u"), "label").join(found.select("u"), "u", "left_anti"))
+    found = materialize(found.join(joined, "label", "left").select("u", F.coalesce("component", "label").alias("label")))
 
     named = sets.select("u", "least").join(found, "u", "left").withColumn("label", F.coalesce("label", "u"))
     least = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")))
