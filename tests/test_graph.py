@@ -185,6 +185,16 @@ def test_louvain(spark):
     assert components.louvain(simple(spark, 2, [])).select("community").distinct().count() == 2
 
 
+def test_louvain_levels_end_in_few_rounds(spark):
+    """Two affine maps of a ring, where levels end in many small moves: each one in 24 rounds at most."""
+    n = 600
+    g = simple(spark, n, [(i, j, "R") for i in range(n) for j in ((31 * i + 7) % n, (17 * i + 3) % n)])
+    part = {r["node"]: r["community"] for r in components.louvain(g, max_rounds=24).collect()}
+    ends = [(part[i], part[j]) for i in range(n) for j in ((31 * i + 7) % n, (17 * i + 3) % n)]
+    degree = {c: sum((a == c) + (b == c) for a, b in ends) for c in set(part.values())}
+    assert sum(a == b for a, b in ends) / len(ends) - sum((k / 2 / len(ends)) ** 2 for k in degree.values()) > 0.4
+
+
 def test_schema(people):
     assert {tuple(r) for r in schema.label_stats(people).collect()} == {("Person", 3), ("Document", 2)}
     types = {tuple(r) for r in schema.property_types(people).collect()}
