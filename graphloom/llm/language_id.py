@@ -5,14 +5,14 @@
 * text(l): mean log likelihood of the hashed byte trigrams of the whole text under language l,
   weighted by w = min(trigrams, full_text) / temper, as neighbouring trigrams are no independent
   evidence: a longer text than `full_text` trigrams is no surer than one of them. The trigram tables are
-  trained on a bounded sample: the `sample` rows of least hash of each declared language.
+  counted over all rows with a declared language; `sample` asks for the rows of least hash of each instead.
 * P(declared | l), P(suffix | l) and the host priors are grouped counts over all rows of the language
   that the text alone suggests. A host's prior is smoothed towards its parent domain's, and that
   towards the whole corpus, each with the weight of KAPPA pages.
 
 A row is accepted if a language has at least `min_confidence`, and its text is no outlier of that
 language: texts of `outlier_from` trigrams or more, whose mean varies little, must not lie below the
-sample's mean by more than `outlier` deviations.
+mean of all texts declared so by more than `outlier` deviations.
 
 Every declared language is a class. More than `max_languages` of them are an error, as the tables
 have 256 KB each in every worker; they are broadcast once.
@@ -60,18 +60,24 @@ _FOLD[:33] = 32
 _FOLD[48:58] = 48
 
 
-def _train(sample: DataFrame, languages: list[str]) -> np.ndarray:
+def _train(texts: DataFrame, languages: list[str]) -> np.ndarray:
     """Log probabilities, an array of (FEATURES, languages)."""
     index = {l: i for i, l in enumerate(languages)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Counts of a task's rows: FEATURES numbers a language that it meets, however many rows.
+        held: dict[str, np.ndarray] = {}
         for b in batches:
-            for language, rows in b.groupby("declared"):
-                found = [f for f in map(features, rows["text"])]
-                token, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pd.DataFrame({"language": index[language], "feature": token, "n": n})
-
-    counts = sample.select("declared", "text").mapInPandas(run, "language int, feature int, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toPandas()
+            for declared, text in zip(b["declared"], b["text"]):
+                f = features(text)
+                if len(f):
+                    np.add.at(held.setdefault(declared, np.zeros(FEATURES, dtype=np.int64)), f, 1)
+        for declared, n in held.items():
+            token = np.flatnonzero(n)
+            yield pd.DataFrame({"language": index[declared], "feature": token, "n": n[token]})
+
+    # What comes to the driver has FEATURES * languages rows at most.
+    counts = texts.select("declared", "text").mapInPandas(run, "language int, feature int, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((FEATURES, len(languages)), 0.1)
     table[counts["feature"], counts["language"]] += counts["n"]
     return np.log(table / table.sum(axis=0)).astype(np.float32)
@@ -110,7 +116,7 @@ def identify(
     docs: DataFrame,
     declared: str = "lang",
     address: str = "source",
-    sample: int = 400,
+    sample: int | None = None,
     max_languages: int = 256,
     min_confidence: float = 0.5,
     full_text: int = 400,
@@ -130,16 +136,18 @@ def identify(
     if not languages:
         return rows.select("doc_id", "id", "h", "declared", F.lit("und").alias("text_language"), F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
     n = len(languages)
-    least = Window.partitionBy("declared").orderBy(F.xxhash64("id", "h"), "id", "h")
-    chosen = rows.filter(F.col("declared").isin(languages) & F.col("text").isNotNull()).select("declared", "id", "h").withColumn("r", F.row_number().over(least)).filter(F.col("r") <= sample)
-    # At most max_languages * sample rows.
-    texts = materialize(rows.join(F.broadcast(chosen.select("id", "h").distinct()), ["id", "h"], "left_semi").filter(F.col("declared").isin(languages)))
+    texts = rows.filter(F.col("declared").isin(languages) & F.col("text").isNotNull())
+    if sample is not None:
+        least = Window.partitionBy("declared").orderBy(F.xxhash64("id", "h"), "id", "h")
+        chosen = texts.select("declared", "id", "h").withColumn("r", F.row_number().over(least)).filter(F.col("r") <= sample)
+        # At most max_languages * sample rows.
+        texts = texts.join(F.broadcast(chosen.select("id", "h").distinct()), ["id", "h"], "left_semi")
     table = spark.sparkContext.broadcast(_train(texts, languages))
-    fit = _score(texts, table, languages).filter((F.col("n") >= outlier_from) & (F.col("declared") >= 0)).select("declared", F.element_at("mean", F.col("declared") + 1).alias("m"))
-    fit = {r["declared"]: (r["mean"], r["dev"]) for r in fit.groupBy("declared").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("dev")).collect()}
 
     best = F.array_position("mean", F.array_max("mean")).cast("int") - 1
     scored = materialize(_score(rows, table, languages).withColumn("best", F.when(F.col("n") > 0, best).otherwise(F.lit(-1))))
+    fit = scored.filter((F.col("n") >= outlier_from) & (F.col("declared") >= 0)).select("declared", F.element_at("mean", F.col("declared") + 1).alias("m"))
+    fit = {r["declared"]: (r["mean"], r["dev"]) for r in fit.groupBy("declared").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("dev")).collect()}
     judged = scored.filter("best >= 0")
     # Grouped counts; what comes to the driver has max_languages ** 2 numbers at most.
     prior = np.full(n, 1.0)

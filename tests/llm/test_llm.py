@@ -658,3 +658,17 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
     run = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert run.select("doc_id", "length").groupBy().sum("length").first() == now.groupBy().sum("length").first()
+
+
+def test_language_tables_count_all_rows(spark):
+    """A word of one language that only rows beyond any sample of 400 use decides for the texts that have only it."""
+    last = spark.range(900).selectExpr("id", "'vvvv zzzz qqqq xyxy' as text").orderBy(F.expr("xxhash64(id, xxhash64(text is null, text))").desc()).limit(100)
+    new = {r["id"]: r["text"] for r in last.collect()}
+    rows = [(i, new.get(i, "alpha beta gamma delta"), "aa", None) for i in range(900)] + [(900 + i, "nisse pulk oster zzyy", "bb", None) for i in range(900)] + [(5000, "zzzz qqqq", None, None)]
+    got = {r["doc_id"]: r["text_language"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[5000] == "aa"
+    counted = language_id._train(spark.createDataFrame([("aa", r[1]) for r in rows[:900]], "declared string, text string").repartition(3), ["aa"])
+    table = np.full((language_id.FEATURES, 1), 0.1)
+    for r in rows[:900]:
+        np.add.at(table[:, 0], language_id.features(r[1]), 1)
+    assert np.allclose(counted, np.log(table / table.sum()), atol=1e-6)
