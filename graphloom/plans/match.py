@@ -10,7 +10,7 @@ filters into the scans.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ class HopPattern:
 
 def node(var: str, *labels: str, fetch: bool = True, **props) -> NodePattern:
     """A node of all labels whose properties have these values. fetch=False binds its id only, and
-    its labels are then taken from the edge type, which saves a join."""
+    its labels are then taken from the edge type, which saves a join, also at the start of a path."""
     return NodePattern(var, labels, props, fetch)
 
 
@@ -117,10 +117,14 @@ class Match:
         """One more path: it continues from its first bound node, or else is a product with it."""
         nodes, hops = list(parts[::2]), list(parts[1::2])
         at = next((i for i, n in enumerate(nodes) if n.var in self.bound), None)
-        m = self
+        m, done = self, 0
         if at is None:
-            m, at = m._product(nodes[0]), 0
-        for i in range(at, len(hops)):
+            at = 0
+            if not self.bound and hops and self._bare(nodes[0], hops[0]):
+                m, done = m._start(nodes[0], hops[0], nodes[1]), 1
+            else:
+                m = m._product(nodes[0])
+        for i in range(at + done, len(hops)):
             m = m._expand(nodes[i], hops[i], nodes[i + 1])
         flip = {"out": "in", "in": "out", "both": "both"}
         for i in range(at - 1, -1, -1):
@@ -149,9 +153,7 @@ class Match:
     def _expand(self, a: NodePattern, h: HopPattern, b: NodePattern) -> Match:
         if h.least is not None:
             return self._chain(a, h, b)
-        edges = oriented(self.graph.edge_frame(*h.types, props=bool(h.var)), h.direction)
-        keep = [F.col(c).alias(f"{h.var}__{c}") for c in edges.columns if c not in ("near", "far")] if h.var else []
-        edges = edges.select(F.col("near").alias("_near"), F.col("far").alias("_far"), *keep)
+        edges = self._ends(h)
         on = F.col(f"{a.var}__id") == F.col("_near")
         if b.var in self.bound:
             on = on & (F.col(f"{b.var}__id") == F.col("_far"))
@@ -159,6 +161,24 @@ class Match:
         m = Match(self.graph, df, self.bound | ({h.var} if h.var else set()))
         return m._arrive(b, self._implied(h, b))
 
+    def _ends(self, h: HopPattern) -> DataFrame:
+        edges = oriented(self.graph.edge_frame(*h.types, props=bool(h.var)), h.direction)
+        keep = [F.col(c).alias(f"{h.var}__{c}") for c in edges.columns if c not in ("near", "far")] if h.var else []
+        return edges.select(F.col("near").alias("_near"), F.col("far").alias("_far"), *keep)
+
+    def _bare(self, a: NodePattern, h: HopPattern) -> bool:
+        """Is a path's first node but the near end of its edges?"""
+        flip = {"out": "in", "in": "out", "both": "both"}
+        return h.least is None and not a.fetch and not a.props and self._implied(replace(h, direction=flip[h.direction]), a)
+
+    def _start(self, a: NodePattern, h: HopPattern, b: NodePattern) -> Match:
+        """The first hop of a first path from a node that is not fetched: its edges, no join."""
+        df = self._ends(h).withColumnRenamed("_near", f"{a.var}__id")
+        if b.var == a.var:
+            df = df.filter(F.col("_far") == F.col(f"{a.var}__id"))
+        m = Match(self.graph, df, frozenset({a.var} | ({h.var} if h.var else set())))
+        return m._arrive(b, self._implied(h, b))
+
     def _implied(self, h: HopPattern, b: NodePattern) -> bool:
         """Does the edge type alone say that the far node has the labels?"""
         for t in self.graph.edge_tables(*h.types):
