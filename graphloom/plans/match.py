@@ -9,6 +9,7 @@ filters into the scans.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.values import Aggregate, Value, column, value
 from graphloom.model import GraphError, PropertyGraph, union
+from graphloom.storage import materialize
 
 MAX_HOPS = 15
 
@@ -139,6 +141,28 @@ class Match:
         names._types = both
         return Match(self.graph, self.df.join(other.df, on(names).filter()), self.bound | other.bound)
 
+    def join_equal(self, other: Match, left: Callable[[Bound], list[Value]], right: Callable[[Bound], list[Value]], pairs: int = 4_000_000) -> Match:
+        """A disjoint match where the values are equal, pair by pair, however many rows share them. The pairs of each
+        key are counted, and a key of more than `pairs` is cut into blocks of this side's rows, each of which meets all of the
+        other's: the number of tasks grows with the pairs, and a task has a bounded share of them."""
+        sides = []
+        for m, keys in ((self, left(Bound(self.df))), (other, right(Bound(other.df)))):
+            sides.append(m.df.withColumns({f"_k{i}": k.col for i, k in enumerate(keys)}).dropna(subset=[f"_k{i}" for i in range(len(keys))]))
+        a, b = sides
+        names = [c for c in a.columns if c.startswith("_k")]
+        n, k = (x.groupBy(*names).agg(F.count(F.lit(1)).alias(as_)) for x, as_ in ((a, "_n"), (b, "_m")))
+        # A row a key that both sides have, numbered and written: the join goes by numbers alone.
+        met = F.col("_n").cast("double") * F.col("_m")
+        sizes = materialize(n.join(k, names).select(*names, F.least("_n", F.ceil(met / pairs)).alias("_cut"), met.alias("_met"), F.monotonically_increasing_id().alias("_key")))
+        parts = max(1, math.ceil((sizes.agg(F.sum("_met")).first()[0] or 0) / pairs))
+        sizes = sizes.drop("_met")
+        block = F.pmod(F.xxhash64(*(c for c in self.df.columns if c.endswith("__id"))), F.col("_cut"))
+        a = a.join(sizes, names).withColumn("_block", block).drop("_cut", *names)
+        b = b.join(sizes, names).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cut") - 1))).drop("_cut", *names)
+        # Dealt out by number: by their bytes, which do not tell of their pairs, Spark would put many together.
+        a, b = (x.repartition(parts, "_key", "_block") for x in (a, b))
+        return Match(self.graph, a.join(b.hint("shuffle_hash"), ["_key", "_block"]).drop("_key", "_block"), self.bound | other.bound)
+
     def _nodes(self, n: NodePattern) -> DataFrame:
         df = self.graph.scan(*n.labels)
         df = df.select(*(F.col(c).alias(f"{n.var}__{c}") for c in df.columns))
